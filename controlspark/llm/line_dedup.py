@@ -23,20 +23,26 @@ ENDS_BELOW = "5"
 LINE = r"(?s).*?(?:\n|[.!?;:,] )|.+"
 
 
+def _bound(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds columns that later lambdas refer to as values; a plain column's expression would be evaluated anew for each element."""
+    return df.select("*", F.expr(f"inline(array(struct({', '.join(columns)})))"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, lines, their hashes and their lengths without outer blanks."""
-    lines = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE), F.lit(0)).alias("lines"))
-    return lines.withColumn("bare", F.expr("transform(lines, x -> btrim(x, ' \\n'))")).withColumn("hashes", F.expr("transform(bare, x -> md5(x))"))
+    """doc_id, the lines without outer blanks, their hashes and their lengths."""
+    lines = docs.select("doc_id", F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE), F.lit(0)))).alias("lines"))
+    bare = _bound(lines, "transform(lines, x -> btrim(x, ' \\n')) as bare").drop("lines")
+    return _bound(bare, "transform(bare, x -> md5(x)) as hashes", "transform(bare, x -> length(x)) as sizes")
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
-    """Adds chunks: for each salt the spans (salt, first, last) of two lines or more."""
+    """Adds chunks: for each salt the spans (salt, first, last) of two lines and MIN_CHARS characters or more."""
     end = "size(hashes) - 1"
-    for s in range(SALTS):
-        cut = f"filter(sequence(0, {end}), i -> i = {end} or left(md5(concat('{s}', coalesce(get(hashes, i - 1), ''), hashes[i])), 1) < '{ENDS_BELOW}')"
-        lines = lines.withColumn(f"ends{s}", F.expr(f"if(size(hashes) > 0, {cut}, cast(array() as array<int>))"))
-    spans = [f"filter(transform(ends{s}, (e, j) -> named_struct('salt', {s}, 'first', coalesce(get(ends{s}, j - 1), -1) + 1, 'last', e)), x -> x.last > x.first)" for s in range(SALTS)]
-    return lines.withColumn("chunks", F.expr(f"concat({', '.join(spans)})")).drop(*[f"ends{s}" for s in range(SALTS)])
+    cut = f"filter(sequence(0, {end}), i -> i = {end} or left(md5(concat('{{s}}', coalesce(get(hashes, i - 1), ''), hashes[i])), 1) < '{ENDS_BELOW}')"
+    lines = _bound(lines, *[f"if(size(hashes) > 0, {cut.format(s=s)}, cast(array() as array<int>)) as ends{s}" for s in range(SALTS)])
+    spans = [f"transform(ends{s}, (e, j) -> named_struct('salt', {s}, 'first', coalesce(get(ends{s}, j - 1), -1) + 1, 'last', e))" for s in range(SALTS)]
+    long = f"aggregate(slice(sizes, x.first + 1, x.last - x.first + 1), 0, (a, y) -> a + y) >= {MIN_CHARS}"
+    return _bound(lines, f"filter(concat({', '.join(spans)}), x -> x.last > x.first and {long}) as chunks")
 
 
 KEY = "xxhash64(slice(hashes, x.first + 1, x.last - x.first + 1))"
@@ -46,14 +52,12 @@ TEXT = "array_join(slice(bare, x.first + 1, x.last - x.first + 1), ' ')"
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_lines and spans: the runs (first, last) of lines, from 0, that repeat earlier ones; for every row of docs with a doc_id."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    chunked = _chunks(_lines(docs)).where("size(chunks) > 0")
-    long = f"aggregate(slice(transform(bare, y -> length(y)), x.first + 1, x.last - x.first + 1), 0, (a, y) -> a + y) >= {MIN_CHARS}"
-    keys = chunked.select("doc_id", F.expr(f"explode(transform(filter(chunks, x -> {long}), x -> named_struct('salt', x.salt, 'key', {KEY}, 'first', x.first, 'last', x.last)))").alias("c")).select("doc_id", "c.*")
+    keys = _chunks(_lines(docs)).select("doc_id", F.expr(f"explode(transform(chunks, x -> named_struct('salt', x.salt, 'key', {KEY}, 'first', x.first, 'last', x.last)))").alias("c")).select("doc_id", "c.*")
     keys = scratch.save("keys", keys)
     again = keys.groupBy("salt", "key").agg(F.count("*").alias("n")).where("n > 1").select("salt", "key")
     spots = keys.join(again, ["salt", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("salt", "first", "last")).alias("spots"))
     found = _lines(docs).join(spots, "doc_id", "left")
-    found = found.select("doc_id", F.size("lines").alias("n_lines"), F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots"))
+    found = found.select("doc_id", F.size("bare").alias("n_lines"), F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots"))
     marked = scratch.save("marked", found)
     scratch.drop("keys")
     spots = marked.select("doc_id", F.explode("spots").alias("x")).select("doc_id", "x.*")
@@ -73,10 +77,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     spans = scratch.save("spans", repeated_lines(docs, scratch).where("size(spans) > 0").select("doc_id", F.col("spans").alias("__spans")))
-    lines = F.regexp_extract_all("text", F.lit(LINE), F.lit(0))
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))), "")
+    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))), "")
+    lines = F.when(F.col("__spans").isNotNull(), F.regexp_extract_all("text", F.lit(LINE), F.lit(0)))
     columns = [F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return docs.join(spans, "doc_id", "left").select(*columns)
+    return docs.join(spans, "doc_id", "left").select("*", F.explode_outer(F.array(lines)).alias("__lines")).select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -88,17 +92,17 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 ORACLE_LINES = r"""
 lines as (
-  select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?;:,] )|.+'), x -> x <> '') as lines from {documents} where doc_id is not null),
-bare as (select doc_id, lines, list_transform(lines, x -> trim(x, ' ' || chr(10))) as bare from lines),
-hashed as (select *, list_transform(bare, x -> md5(x)) as hashes from bare),
+  select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?;:,] )|.+'), lambda x: x <> '') as lines from {documents} where doc_id is not null),
+bare as (select doc_id, lines, list_transform(lines, lambda x: trim(x, ' ' || chr(10))) as bare from lines),
+hashed as (select *, list_transform(bare, lambda x: md5(x)) as hashes from bare),
 cuts as (
-  select doc_id, lines, bare, salt, list_filter(range(0, len(hashes)), i -> i = len(hashes) - 1 or left(md5(concat(salt, case when i > 0 then hashes[i] else '' end, hashes[i + 1])), 1) < '5') as ends
+  select doc_id, lines, bare, salt, list_filter(range(0, len(hashes)), lambda i: i = len(hashes) - 1 or left(md5(concat(salt, case when i > 0 then hashes[i] else '' end, hashes[i + 1])), 1) < '5') as ends
   from hashed, (select unnest(['0', '1', '2']) as salt)),
 spans as (
-  select doc_id, bare, salt, unnest(list_transform(ends, (e, j) -> {{'first': case when j = 1 then 0 else ends[j - 1] + 1 end, 'last': e}})) as s from cuts),
+  select doc_id, bare, salt, unnest(list_transform(ends, lambda e, j: {{'first': case when j = 1 then 0 else ends[j - 1] + 1 end, 'last': e}})) as s from cuts),
 chunks as (
   select doc_id, salt, s.first as first, s.last as last, array_to_string(bare[s.first + 1 : s.last + 1], ' ') as body,
-         list_sum(list_transform(bare[s.first + 1 : s.last + 1], x -> length(x))) as chars
+         list_sum(list_transform(bare[s.first + 1 : s.last + 1], lambda x: length(x))) as chars
   from spans where s.last > s.first),
 ranked as (select *, row_number() over (partition by salt, body order by doc_id, first) as k from chunks where chars >= 64),
 removed as (select doc_id, list_distinct(flatten(list(range(first, last + 1)))) as gone from ranked where k > 1 group by doc_id)

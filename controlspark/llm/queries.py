@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 NEAR_SQL = r"""
 with recursive
 words as (select doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), '[^ ]+') as w from documents),
-sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
 sizes as (select doc_id, len(s) as n, case when len(s) > 0 then md5(array_to_string(list_sort(s), chr(10))) end as same from sets),
 first as (select same, min(doc_id) as doc_id from sizes where same is not null group by same),
 items as (select doc_id, unnest(s) as x from sets where doc_id in (select doc_id from first)),
@@ -91,7 +91,7 @@ CONTAMINATION_SQL = r"""
 with
 dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 bw as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
-windows as (select distinct item_id, least(13, len(w)) as m, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), i -> array_to_string(w[i : i + least(13, len(w)) - 1], ' '))) as t from bw where len(w) > 0),
+windows as (select distinct item_id, least(13, len(w)) as m, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i : i + least(13, len(w)) - 1], ' '))) as t from bw where len(w) > 0),
 sizes as (select distinct m from windows),
 places as (select doc_id, m, unnest(range(1, len(w) - m + 2)) as i, w from dw, sizes where len(w) >= m),
 found as (select p.doc_id, p.i, p.m, x.item_id from places p join windows x on x.m = p.m and x.t = array_to_string(p.w[p.i : p.i + p.m - 1], ' ')),
