@@ -1,11 +1,170 @@
-"""The driver queries of the catalog operators and their SQL."""
+"""The driver queries of the catalog operators and their SQL.
+
+The driver's tables stand in for the catalog's: documents for requirements,
+benchmark for masters, labels for decisions, events for the audit trail and
+region to orders for the parent hierarchy.
+"""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import textnorm as tn
+from .operators import corrections, rules, scoring
+
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels conversations pages".split()
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):  # for the NFC function's workers
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def named(spark, d, table, key):
+    return read(spark, d, table).select(F.col(key).alias("id"), "text")
+
+
+def normalize_text(spark, d):
+    t = read(spark, d, "documents")
+    return t.select("doc_id", tn.field_hash(F.col("text")).alias("field_hash"))
+
+
+def duplicate_statement(spark, d):
+    return rules.duplicate_statements(named(spark, d, "documents", "doc_id"))
+
+
+def id_set_hash(spark, d):
+    # Groups of the sorted ids first, then one row a group: no list of all ids in a row.
+    parts = read(spark, d, "documents").select("source", "doc_id").groupBy("source").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), "\n"), 256).alias("ids_sha256"))
+    return parts
+
+
+def plan_diff(spark, d):
+    t = named(spark, d, "documents", "doc_id")
+    parsed = t.select("id", tn.field_hash(F.col("text"), False).alias("hash"))
+    stored = t.where("id % 3 <> 0").select("id", tn.field_hash(F.when(F.col("id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), False).alias("hash"))
+    return rules.plan_diff(parsed, stored)
+
+
+def quarantine_propagation(spark, d):
+    r, n, c, o = (read(spark, d, x) for x in ("region", "nation", "customer", "orders"))
+    key = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    levels = [
+        n.select(key("n", F.col("n_nationkey")).alias("id"), key("r", F.col("n_regionkey")).alias("parent")),
+        c.select(key("c", F.col("c_custkey")).alias("id"), key("n", F.col("c_nationkey")).alias("parent")),
+        o.select(key("o", F.col("o_orderkey")).alias("id"), key("c", F.col("o_custkey")).alias("parent")),
+    ]
+    return rules.propagate_quarantine(r.where("r_name = 'ASIA'").select(key("r", F.col("r_regionkey")).alias("id")), levels)
+
+
+def correction_current(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    return corrections.latest(e, ["user_id", "event_type"], "event_id").where("event_type <> 'error'").select("user_id", "event_type", "event_id")
+
+
+def requirement_effective(spark, d):
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("statement"), F.col("p_brand").alias("guidance"))
+    line = read(spark, d, "lineitem")
+    fixes = line.groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_linestatus").alias("value"), F.min("l_linenumber").alias("n")).where("n > 1").select("id", F.element_at(F.array(F.lit("title"), F.lit("statement"), F.lit("guidance")), (F.col("n") % 3 + 1).cast("int")).alias("field"), "value")
+    return corrections.effective(p, fixes, ["title", "statement", "guidance"])
+
+
+def revision_chain(spark, d):
+    t = read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("revision"), F.when(F.col("role") == "user", "set").otherwise("retire").alias("action"))
+    return corrections.chain_faults(t, ["id"]).select("id", "revision", F.col("place").cast("bigint").alias("place"))
+
+
+def tokens_df(spark, d):
+    t = named(spark, d, "benchmark", "item_id").select("id", F.explode(F.array_distinct(tn.tokens(F.col("text")))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("df"))
+
+
+def tfidf_topk(spark, d):
+    return scoring.top_k(named(spark, d, "benchmark", "item_id"), named(spark, d, "documents", "doc_id"))
+
+
+def canonical_key(spark, d):
+    key = tn.canonical_key(F.col("text"))
+    return named(spark, d, "benchmark", "item_id").select("id", key.alias("canonical_key"), F.concat(F.lit("MC-"), F.upper(F.substring(F.sha2(key, 256), 1, 12))).alias("master_id"))
+
+
+def control_id_canonical(spark, d):
+    label = F.concat(F.lit(" ac-0"), (F.col("p_partkey") % 90).cast("string"), F.when(F.col("p_size") > 25, F.concat(F.lit("(0"), F.col("p_size").cast("string"), F.lit(")"))).otherwise(""), F.lit(" "))
+    c = tn.canonical_id(label)
+    return read(spark, d, "part").select("p_partkey", c.alias("control_id"), F.concat(F.lit("X-REQ-"), F.translate(c, "()", "-")).alias("code"))
+
+
+#: Queries whose text is the same in both dialects.
+SHARED = {
+    "manifest_reconcile": "select 'total' as name, count(*) as actual, cast(1000 as bigint) as expected, count(*) <> 1000 as mismatch from documents union all select 'english', count(case when lang = 'en' then 1 end), cast(620 as bigint), count(case when lang = 'en' then 1 end) <> 620 from documents union all select 'sources', count(distinct source), cast(20 as bigint), count(distinct source) <> 20 from documents",
+    "orphan_check": "select o_orderkey from orders o where not exists (select 1 from customer c where c.c_custkey = o.o_custkey and c.c_acctbal > 0)",
+    "waiver_match": "select d.doc_id, case when l.doc_id is null then 'blocking' else 'waived' end as state from documents d left join (select doc_id from labels where quality = 1 and toxic = 0 group by doc_id) l on d.doc_id = l.doc_id",
+    "unmapped": "select d.doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
+    "coverage": "select lang, count(*) as total, count(case when l.doc_id is not null then 1 end) as mapped from documents d left join (select doc_id from labels where quality = 1 group by doc_id) l on d.doc_id = l.doc_id group by lang",
+    "review_queue_page": "select d.doc_id, l.quality as score from documents d left join labels l on d.doc_id = l.doc_id order by l.quality desc nulls last, d.doc_id limit 25 offset 50",
+    "search": "select doc_id from documents where lower(concat_ws(' ', source, lang, text)) like '%then%'",
+    "review_report": "select lang, source, case when n_chars > 1500 then 'open' else 'waived' end as status, count(*) as n from documents group by 1, 2, 3",
+    "broad_masters": "select l_suppkey, count(distinct p_brand) as families from lineitem join part on l_partkey = p_partkey group by l_suppkey having count(distinct p_brand) > 5",
+    "bundle_referential_check": "select l.l_orderkey, l.l_linenumber from lineitem l where not exists (select 1 from part p where p.p_partkey = l.l_partkey and p.p_size > 1) or not exists (select 1 from supplier s where s.s_suppkey = l.l_suppkey and s.s_acctbal > 0)",
+    "upsert_counts": "select case when b.p_partkey is null then 'added' when b.size <> a.p_size then 'changed' else 'unchanged' end as state, count(*) as n from part a left join (select p_partkey, case when p_partkey % 5 = 0 then p_size + 1 else p_size end as size from part where p_partkey % 4 <> 0) b on a.p_partkey = b.p_partkey group by 1",
+    "vocab_aliases": "select c_custkey, case upper(trim(c_mktsegment)) when 'AUTOMOBILE' then 'Vehicles' when 'BUILDING' then 'Construction' when 'HOUSEHOLD' then 'Home' else c_mktsegment end as domain from customer",
+    "open_suggestions": "select o.o_orderkey, c.c_custkey, n.n_name from orders o join customer c on o.o_custkey = c.c_custkey join nation n on n.n_nationkey = c.c_nationkey where o.o_orderstatus = 'O' and c.c_acctbal > 0",
+    "blocked_suggestions": "select count(*) as blocked from orders o join customer c on o.o_custkey = c.c_custkey where o.o_orderstatus = 'O' and c.c_acctbal <= 0",
+    "verify_mismatches": "select d.doc_id, cast(length(d.text) as bigint) as actual, d.n_chars as stored from documents d where length(d.text) <> d.n_chars",
+    "identical_peers": "select a.doc_id, count(*) as peers from documents a join documents b on a.text = b.text and a.doc_id <> b.doc_id group by a.doc_id",
+}
+
+
+def shared(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        # Frames as arguments: no temporary view outlives the query.
+        used = [t for t in TABLES if f" {t}" in sql]
+        text = sql
+        for t in used:
+            for word in ("from", "join"):
+                text = text.replace(f"{word} {t} ", f"{word} {{{t}}} ").replace(f"{word} {t})", f"{word} {{{t}}})")
+            if text.endswith(f"from {t}"):
+                text = text[: -len(t)] + f"{{{t}}}"
+        return spark.sql(text, **{t: read(spark, d, t) for t in used if f"{{{t}}}" in text})
+
+    return run
+
+
+NORMAL = r"trim(regexp_replace(replace(replace(nfc_normalize(text), chr(160), ' '), chr(8203), ''), '[\s\v\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))"
+TOKENS = (
+    "list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 and x not in (" + ", ".join(f"'{x}'" for x in tn.STOP) + ")), "
+    "lambda x: case when length(x) > 4 and x like '%ies' then left(x, length(x) - 3) || 'y' when length(x) > 3 and x like '%s' and x not like '%ss' then left(x, length(x) - 1) else x end)"
+)
+SQL = {
+    "normalize_text": f"select doc_id, sha256({NORMAL}) as field_hash from documents",
+    "duplicate_statement": f"with n as (select doc_id as id, {NORMAL} as t from documents), g as (select t, list_sort(list(id)) as ids from n where t <> '' group by t having count(*) > 1) select id, array_to_string(list_filter(ids, lambda x: x <> id), ',') as others from (select unnest(ids) as id, ids from g)",
+    "id_set_hash": "select source, sha256(string_agg(cast(doc_id as varchar), chr(10) order by doc_id)) as ids_sha256 from documents group by source",
+    "plan_diff": f"with h as (select doc_id as id, {NORMAL} as t from documents), s as (select doc_id as id, {NORMAL} as t from (select doc_id, case when doc_id % 7 = 0 then text || '!' else text end as text from documents where doc_id % 3 <> 0)) select h.id, case when s.id is null then 'new' when s.t = h.t then 'unchanged' else 'conflict' end as state from h left join s on h.id = s.id",
+    "quarantine_propagation": "with recursive p as (select 'n' || n_nationkey as id, 'r' || n_regionkey as parent from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'o' || o_orderkey, 'c' || o_custkey from orders), q as (select p.id from p join region on p.parent = 'r' || r_regionkey where r_name = 'ASIA' union all select p.id from p join q on p.parent = q.id) select id from q",
+    "correction_current": "select user_id, event_type, max(event_id) as event_id from events where event_type <> 'error' group by 1, 2",
+    "requirement_effective": "with f as (select l_partkey as id, max(l_linestatus) as v, min(l_linenumber) as n from lineitem group by 1 having min(l_linenumber) > 1) select p_partkey as id, case when n % 3 = 0 then v else p_name end as title, case when n % 3 = 1 then v else p_type end as statement, case when n % 3 = 2 then v else p_brand end as guidance, case when f.id is null then 0 else 1 end as corrected from part left join f on p_partkey = f.id",
+    "revision_chain": "with t as (select conv_id as id, turn as revision, case when role = 'user' then 'set' else 'retire' end as action from conversations), w as (select *, row_number() over (partition by id order by revision) as place, lag(action) over (partition by id order by revision) as before from t) select id, revision, place from w where revision <> place or (action = 'retire' and coalesce(before, '') <> 'set')",
+    "tokens_df": f"select token, count(*) as df from (select item_id, unnest(list_distinct({TOKENS})) as token from benchmark) group by token",
+    "tfidf_topk": f"with m as (select item_id as id, token, count(*) as tf from (select item_id, unnest({TOKENS}) as token from benchmark) group by 1, 2), r as (select doc_id as id, token, count(*) as tf from (select doc_id, unnest({TOKENS}) as token from documents) group by 1, 2), idf as (select token, ln((1 + (select greatest(count(*), 1) from benchmark)) / (1 + count(*))) + 1 as idf from m group by token), "
+    "mw as (select m.id, m.token, (1 + ln(tf)) * idf as w from m join idf using (token)), rw as (select r.id, r.token, (1 + ln(tf)) * coalesce(idf, 1.0) as w from r left join idf using (token)), mn as (select id, sqrt(sum(w * w)) as norm from mw group by id), rn as (select id, sqrt(sum(w * w)) as norm from rw group by id), "
+    "s as (select rw.id as requirement, mw.id as master, sum(rw.w / rn.norm * (mw.w / mn.norm)) as raw from rw join mw using (token) join rn on rn.id = rw.id join mn on mn.id = mw.id group by 1, 2), k as (select requirement, master, round(raw, 4) as score, row_number() over (partition by requirement order by round(raw, 4) desc, master) as rank from s where raw >= 0.25) select requirement, rank, master, score from k where rank <= 3",
+    "canonical_key": f"with k as (select item_id as id, array_to_string(regexp_extract_all(replace(lower({NORMAL}), '&', ' and '), '[a-z0-9]+'), ' ') as canonical_key from benchmark) select id, canonical_key, 'MC-' || upper(left(sha256(canonical_key), 12)) as master_id from k",
+    "control_id_canonical": "with l as (select p_partkey, 'AC-' || cast(p_partkey % 90 as varchar) || case when p_size > 25 then '(' || cast(p_size as varchar) || ')' else '' end as control_id from part) select p_partkey, control_id, 'X-REQ-' || replace(replace(control_id, '(', '-'), ')', '') as code from l",
+}
+FRAMES = (normalize_text, duplicate_statement, id_set_hash, plan_diff, quarantine_propagation, correction_current, requirement_effective, revision_chain, tokens_df, tfidf_topk, canonical_key, control_id_canonical)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in FRAMES} | {name: shared(sql) for name, sql in SHARED.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return SQL | SHARED
