@@ -28,11 +28,15 @@ def _bound(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("*", F.expr(f"inline(array(struct({', '.join(columns)})))"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, the lines without outer blanks, their hashes and their lengths."""
+def _bare(docs: DataFrame) -> DataFrame:
+    """doc_id and the lines without outer blanks."""
     lines = docs.select("doc_id", F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE), F.lit(0)))).alias("lines"))
-    bare = _bound(lines, "transform(lines, x -> btrim(x, ' \\n')) as bare").drop("lines")
-    return _bound(bare, "transform(bare, x -> md5(x)) as hashes", "transform(bare, x -> length(x)) as sizes")
+    return _bound(lines, "transform(lines, x -> btrim(x, ' \\n')) as bare").drop("lines")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """The lines with their hashes and their lengths."""
+    return _bound(_bare(docs), "transform(bare, x -> md5(x)) as hashes", "transform(bare, x -> length(x)) as sizes")
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
@@ -56,7 +60,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = scratch.save("keys", keys)
     again = keys.groupBy("salt", "key").agg(F.count("*").alias("n")).where("n > 1").select("salt", "key")
     spots = keys.join(again, ["salt", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("salt", "first", "last")).alias("spots"))
-    found = _lines(docs).join(spots, "doc_id", "left")
+    found = _bare(docs).join(spots, "doc_id", "left")
     found = found.select("doc_id", F.size("bare").alias("n_lines"), F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots"))
     marked = scratch.save("marked", found)
     scratch.drop("keys")
