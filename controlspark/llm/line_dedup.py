@@ -58,14 +58,15 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     keys = _chunks(_lines(docs)).select("doc_id", F.expr(f"explode(transform(chunks, x -> named_struct('salt', x.salt, 'key', {KEY}, 'first', x.first, 'last', x.last)))").alias("c")).select("doc_id", "c.*")
     keys = scratch.save("keys", keys)
-    again = keys.groupBy("salt", "key").agg(F.count("*").alias("n")).where("n > 1").select("salt", "key")
+    # Written, as an aggregate's own partitions can't be dealt anew: both sides of the joins are shuffled, and a hot group is split.
+    again = scratch.save("again", keys.groupBy("salt", "key").agg(F.count("*").alias("n")).where("n > 1").select("salt", "key"))
     spots = keys.join(again, ["salt", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("salt", "first", "last")).alias("spots"))
     found = _bare(docs).join(spots, "doc_id", "left")
     found = found.select("doc_id", F.size("bare").alias("n_lines"), F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots"))
     marked = scratch.save("marked", found)
     scratch.drop("keys")
     spots = marked.select("doc_id", F.explode("spots").alias("x")).select("doc_id", "x.*")
-    firsts = spots.groupBy("salt", "text").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = scratch.save("firsts", spots.groupBy("salt", "text").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = spots.join(firsts, ["salt", "text"]).where("struct(doc_id, first) <> origin")
     spans = copies.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     return marked.select("doc_id", "n_lines").distinct().join(spans, "doc_id", "left").select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"))
