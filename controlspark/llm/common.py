@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -32,11 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="controlspark-")
+
+
 class Scratch:
     """Tables written to the folder that the whole cluster shares.
 
     The folder is ``spark.checkpoint.dir``; where that is unset (tests, one
-    machine) it is set to a temporary folder. A written table cuts the lineage
+    machine) it is a temporary folder of this process, as a running session
+    refuses to set it. A written table cuts the lineage
     and outlives the executors that wrote it. Spark removes the tables when its
     file system closes; ``drop`` removes one earlier.
     """
@@ -45,8 +52,7 @@ class Scratch:
         self.spark = prepare(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="controlspark-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = _own_folder()
         self.root = f"{base}/{tag}-{uuid.uuid4().hex}"
         path, fs = self._fs(self.root)
         fs.mkdirs(path)
