@@ -29,8 +29,9 @@ def _bound(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _bare(docs: DataFrame) -> DataFrame:
-    """doc_id and the lines without outer blanks."""
-    lines = docs.select("doc_id", F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE), F.lit(0)))).alias("lines"))
+    """The lines without outer blanks in place of the text; other columns stay."""
+    others = [c for c in docs.columns if c != "text"]
+    lines = docs.select(*others, F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE), F.lit(0)))).alias("lines"))
     return _bound(lines, "transform(lines, x -> btrim(x, ' \\n')) as bare").drop("lines")
 
 
@@ -41,9 +42,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _chunks(lines: DataFrame) -> DataFrame:
     """Adds chunks: for each salt the spans (salt, first, last) of two lines and MIN_CHARS characters or more."""
-    end = "size(hashes) - 1"
-    cut = f"filter(sequence(0, {end}), i -> i = {end} or left(md5(concat('{{s}}', coalesce(get(hashes, i - 1), ''), hashes[i])), 1) < '{ENDS_BELOW}')"
-    lines = _bound(lines, *[f"if(size(hashes) > 0, {cut.format(s=s)}, cast(array() as array<int>)) as ends{s}" for s in range(SALTS)])
+    lines = _bound(lines, "transform(hashes, (h, i) -> concat(coalesce(get(hashes, i - 1), ''), h)) as seeds", "size(hashes) - 1 as end")
+    # A hexadecimal string is below ENDS_BELOW if its first digit is.
+    lines = _bound(lines, *[f"array_compact(transform(seeds, (x, i) -> if(i = end or md5(concat('{s}', x)) < '{ENDS_BELOW}', i, null))) as ends{s}" for s in range(SALTS)])
     spans = [f"transform(ends{s}, (e, j) -> named_struct('salt', {s}, 'first', coalesce(get(ends{s}, j - 1), -1) + 1, 'last', e))" for s in range(SALTS)]
     long = f"aggregate(slice(sizes, x.first + 1, x.last - x.first + 1), 0, (a, y) -> a + y) >= {MIN_CHARS}"
     return _bound(lines, f"filter(concat({', '.join(spans)}), x -> x.last > x.first and {long}) as chunks")
@@ -56,20 +57,21 @@ TEXT = "array_join(slice(bare, x.first + 1, x.last - x.first + 1), ' ')"
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_lines and spans: the runs (first, last) of lines, from 0, that repeat earlier ones; for every row of docs with a doc_id."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    keys = _chunks(_lines(docs)).select("doc_id", F.expr(f"explode(transform(chunks, x -> named_struct('salt', x.salt, 'key', {KEY}, 'first', x.first, 'last', x.last)))").alias("c")).select("doc_id", "c.*")
-    keys = scratch.save("keys", keys)
+    # Besides its chunks, a row of salt -1 for each text, whose last line gives their number.
+    spans = f"concat(array(named_struct('salt', -1, 'key', 0L, 'first', 0, 'last', size(bare) - 1)), transform(chunks, x -> named_struct('salt', x.salt, 'key', {KEY}, 'first', x.first, 'last', x.last)))"
+    every = scratch.save("keys", _chunks(_lines(docs)).select("doc_id", F.expr(f"explode({spans})").alias("c")).select("doc_id", "c.*"))
+    keys, sizes = every.where("salt >= 0"), every.where("salt < 0").select("doc_id", F.expr("cast(last + 1 as bigint)").alias("n_lines")).distinct()
     # Written, as an aggregate's own partitions can't be dealt anew: both sides of the joins are shuffled, and a hot group is split.
     again = scratch.save("again", keys.groupBy("salt", "key").agg(F.count("*").alias("n")).where("n > 1").select("salt", "key"))
     spots = keys.join(again, ["salt", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("salt", "first", "last")).alias("spots"))
-    found = _bare(docs).join(spots, "doc_id", "left")
-    found = found.select("doc_id", F.size("bare").alias("n_lines"), F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots"))
-    marked = scratch.save("marked", found)
-    scratch.drop("keys")
+    # Only texts with candidates are cut into lines again.
+    found = _bare(docs.join(spots, "doc_id"))
+    marked = scratch.save("marked", found.select("doc_id", F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots")))
     spots = marked.select("doc_id", F.explode("spots").alias("x")).select("doc_id", "x.*")
     firsts = scratch.save("firsts", spots.groupBy("salt", "text").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"))
     copies = spots.join(firsts, ["salt", "text"]).where("struct(doc_id, first) <> origin")
     spans = copies.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
-    return marked.select("doc_id", "n_lines").distinct().join(spans, "doc_id", "left").select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"))
+    return sizes.join(spans, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
