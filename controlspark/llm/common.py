@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch between the JVM and a Python worker; texts can be long.
 ARROW_ROWS = 512
@@ -72,6 +73,23 @@ class Scratch:
         fs.delete(path, True)
 
 
+def with_row_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a column __row, of another value in each row, in the order of doc_id (nulls last).
+
+    Where every row has a doc_id of its own, that is its key. Otherwise the rows
+    are sorted, numbered and written; rows that repeat a doc_id, or lack one,
+    are numbered in the order in which they are read.
+    """
+    prepare(docs.sparkSession)
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("bigint"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__place")]
+    placed = docs.withColumn("__place", F.monotonically_increasing_id())
+    # The partitions are ranges in order, so the number grows with the order.
+    numbered = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    return scratch.save("rows", numbered.drop("__place"))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; a null counts as an empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import batch_of, integers, passes, prepare
 from .textscan import U64, golden, mix64
@@ -172,6 +173,24 @@ def predictor(filters: Filters):
     return predict
 
 
+def tagged(docs: DataFrame, filters: Filters) -> DataFrame:
+    """The rows of docs, all columns kept, with the language and coverage that ``identify`` gives, in __pred and __coverage: by row, whatever the doc_id."""
+    prepare(docs.sparkSession)
+    predict, schema = predictor(filters), StructType([*docs.schema.fields, StructField("__pred", StringType()), StructField("__coverage", DoubleType())])
+
+    def tag(batches):
+        for batch in batches:
+            n = batch.num_rows
+            own = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), batch.column("text")], names=["doc_id", "held_out", "text"])
+            at = 0
+            for found in predict([own]):
+                part = batch.slice(at, found.num_rows)
+                at += found.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, found.column("lang_pred"), found.column("coverage")], names=[*part.schema.names, "__pred", "__coverage"])
+
+    return docs.mapInArrow(tag, schema)
+
+
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, held_out, lang_pred, score (of the language against the others) and coverage (the share of n-grams it holds) of each row.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, with_row_keys
 
 SALTS = 3
 MIN_CHARS = 64
@@ -77,17 +77,20 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with their text less the repeated passages; all columns are kept.
 
-    Null texts stay null, empty ones empty. Rows without a doc_id are left as
-    they are. The first occurrence of a passage stays, in the row with the
-    smallest doc_id and there at the first place; copies in the same row go
-    too. A row that only repeats others becomes empty, not absent.
+    Null texts stay null, empty ones empty. Rows that repeat a doc_id or lack
+    one are texts of their own. The first occurrence of a passage stays, in the
+    row with the smallest doc_id (rows without one come last) and there at the
+    first place; copies in the same row go too. A row that only repeats others
+    becomes empty, not absent.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    spans = scratch.save("spans", repeated_lines(docs, scratch).where("size(spans) > 0").select("doc_id", F.col("spans").alias("__spans")))
+    rows = with_row_keys(docs, scratch)
+    found = repeated_lines(rows.select(F.col("__row").alias("doc_id"), "text"), scratch)
+    spans = scratch.save("spans", found.where("size(spans) > 0").select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans")))
     kept = F.array_join(F.filter("__lines", lambda x, i: ~F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))), "")
     lines = F.when(F.col("__spans").isNotNull(), F.regexp_extract_all("text", F.lit(LINE), F.lit(0)))
     columns = [F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return docs.join(spans, "doc_id", "left").select("*", F.explode_outer(F.array(lines)).alias("__lines")).select(*columns)
+    return rows.join(spans, "__row", "left").select("*", F.explode_outer(F.array(lines)).alias("__lines")).select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""A training corpus from documents: five stages, each written and read again as the next one's documents."""
+"""A training corpus from documents: five stages, each written and read again as the next one's documents.
+
+Every stage decides on rows, not on ids: rows that repeat a doc_id, or have
+none, are documents like all others.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from controlspark.llm import decontam, lang_id, line_dedup, near_dedup, packing
-from controlspark.llm.common import Scratch, table
+from controlspark.llm.common import Scratch, table, with_row_keys
 from controlspark.llm.queries import tokenizer_path
 
 #: A text whose n-grams the best language holds to a smaller share is in no language that is known.
@@ -15,10 +19,8 @@ LEAST_COVERAGE = 0.3
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in a known language: not ``und``, and enough of its n-grams are known. lang becomes the prediction's."""
-    scratch = Scratch(spark, "languages")
-    found = lang_id.identify(docs, lang_id.fit(docs)).where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("coverage") >= LEAST_COVERAGE))
-    kept = scratch.save("kept", found.where("doc_id is not null").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    found = lang_id.tagged(docs, lang_id.fit(docs))
+    return found.where((F.col("__pred") != lang_id.UNKNOWN) & (F.col("__coverage") >= LEAST_COVERAGE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,15 +30,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    kept = near_dedup.near_duplicates(docs, k=5, similarity=0.8).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = with_row_keys(docs, Scratch(spark, "near"))
+    found = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k=5, similarity=0.8)
+    return rows.join(found.where("kept").select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that benchmark passages do not make up to a twentieth."""
     scratch = Scratch(spark, "decontaminated")
-    hit = scratch.save("hit", decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated and doc_id is not null").select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows = with_row_keys(docs, scratch)
+    found = decontam.contamination(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = scratch.save("hit", found.where("contaminated").select(F.col("doc_id").alias("__row")))
+    return rows.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

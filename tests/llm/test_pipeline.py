@@ -109,3 +109,48 @@ def test_packing(steps):
     assert set(pieces.doc_id) == set(ids)
     for _, own in pieces.sort_values("offset").groupby("sequence_id"):
         assert list(own.offset) == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 2048
+
+
+def awkward(spark, rows):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").schema
+    return spark.createDataFrame(rows, schema).selectExpr("*", "'s' as source", "cast(length(text) as bigint) as n_chars")
+
+
+def left(df):
+    return sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in df.collect())
+
+
+def numbered_words(i, n):
+    return " ".join(f"w{i}x{j}" for j in range(n))
+
+
+def test_language_decides_on_rows(spark):
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and n_chars > 400").orderBy("doc_id").limit(60).collect()]
+    clean, junk = real[0][1], "ЖЖЩ ЪЪЫ ЩЖЪ"
+    rows = [*real, (None, clean, None), (None, junk, None), (900, junk, None), (900, clean, None)]
+    got = left(corpus_pipeline.keep_languages(spark, awkward(spark, rows), SF))
+    assert [x for x in got if x[0] in (-1, 900)] == [(-1, clean), (900, clean)]
+
+
+def test_line_dedup_cuts_rows_not_ids(spark):
+    passage = " ".join(numbered_words(f"p{i}", 6) + "." for i in range(14))
+    other = " ".join(numbered_words(f"q{i}", 6) + "." for i in range(20))
+    rows = [(1, passage, None), (2, f"{numbered_words('a', 9)}. {passage}", None), (2, other, None), (None, f"{numbered_words('b', 9)}. {passage}", None), (None, numbered_words("c", 9), None)]
+    got = left(corpus_pipeline.drop_repeated_lines(spark, awkward(spark, rows), SF))
+    assert (1, passage) in got and (2, other) in got and (-1, numbered_words("c", 9)) in got and len(got) == 5
+    assert all(len(t) < len(passage) for d, t in got if t.startswith(("wa", "wb")))
+
+
+def test_near_duplicates_decides_on_rows(spark):
+    a, b, c, d, e = (numbered_words(x, 40) for x in "abcde")
+    rows = [(1, a, None), (5, b, None), (5, b, None), (5, c, None), (6, d, None), (6, a, None), (None, e, None), (None, e + " tail", None), (None, a, None)]
+    got = left(corpus_pipeline.drop_near_duplicates(spark, awkward(spark, rows), SF))
+    assert [x for x in got if x[0] > 0] == sorted([(1, a), (5, b), (5, c), (6, d)])
+    assert len(got) == 5 and got[0][1] in (e, e + " tail")
+
+
+def test_decontamination_decides_on_rows(spark):
+    bad = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 20)
+    clean = numbered_words("a", 40)
+    rows = [(1, bad, None), (1, clean, None), (None, bad, None), (None, clean, None)]
+    assert left(corpus_pipeline.drop_contaminated(spark, awkward(spark, rows), SF)) == [(-1, clean), (1, clean)]
