@@ -20,7 +20,7 @@ LEAST_COVERAGE = 0.3
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text is in a known language: not ``und``, and enough of its n-grams are known. lang becomes the prediction's."""
     found = lang_id.tagged(docs, lang_id.fit(docs))
-    return found.where((F.col("__pred") != lang_id.UNKNOWN) & (F.col("__coverage") >= LEAST_COVERAGE)).select(*docs.columns)
+    return found.where((F.col("__pred") != lang_id.UNKNOWN) & (F.col("__coverage") >= LEAST_COVERAGE)).withColumn("lang", F.col("__pred")).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -154,3 +154,10 @@ def test_decontamination_decides_on_rows(spark):
     clean = numbered_words("a", 40)
     rows = [(1, bad, None), (1, clean, None), (None, bad, None), (None, clean, None)]
     assert left(corpus_pipeline.drop_contaminated(spark, awkward(spark, rows), SF)) == [(-1, clean), (1, clean)]
+
+
+def test_language_names_the_prediction(spark):
+    real = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and n_chars > 400").orderBy("doc_id").limit(60).collect()]
+    rows = awkward(spark, [*real, (None, real[0][1], None)])
+    got = corpus_pipeline.keep_languages(spark, rows, SF)
+    assert got.columns == rows.columns and [r.lang for r in got.where("doc_id is null").collect()] == [real[0][2]]
