@@ -182,3 +182,29 @@ def test_main_text():
       line<br>and on<p>Second paragraph, of some length, with commas.</p></article><div id=comments><p>Nice, text, indeed, my friend.</p></div><footer>c</footer>"""
     assert html_extract.extract(page) == "Title & more\n\nFirst, line and on\n\nSecond paragraph, of some length, with commas."
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<script>x") == ""
+
+
+def test_lm_learns_from_all_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_TOP", 5)
+    monkeypatch.setattr(lm_score, "SAMPLE_REST", 5)
+    rng = random.Random(6)
+    pairs = {"".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))).encode(): rng.randint(1, 30) for _ in range(700)}
+    names, c = list(pairs), np.array(list(pairs.values()))
+    table = spark.createDataFrame([(bytearray(w), n, n) for w, n in pairs.items()], "word binary, n0 bigint, c bigint")
+    got = lm_score.learn(table, lm_score.Scratch(spark, "test"), [int(c.sum())])
+    tables, each = np.zeros(2 * lm_score.SLOTS), c / c.mean()
+    bits = lm_score.Bits(names)
+    for k in range(8):
+        bit, slots = bits.bit(k)
+        for s in slots:
+            np.add.at(tables, s + lm_score.SLOTS * bit.astype(int), np.repeat(c, bits.sizes))
+    mapped = np.zeros((2, lm_score.N_GATES, lm_score.STEPS))
+    for k in range(8):
+        bit, slots = bits.bit(k)
+        zeros, ones = ([np.maximum(tables[s + x * lm_score.SLOTS] - (bit == x), 0) for s in slots] for x in (0, 1))
+        gate = got.gate([lm_score.level(a + b) for a, b in zip(zeros, ones, strict=True)], k)
+        z = sum(lm_score.stretch(a, b) * got.weights[gate, o] for o, (a, b) in enumerate(zip(zeros, ones, strict=True)))
+        at = np.clip(((np.clip(z, -12, 12) + 12) / 24 * (lm_score.STEPS - 1)).round().astype(int), 0, lm_score.STEPS - 1)
+        np.add.at(mapped, (bit.astype(int), gate, at), np.repeat(each, bits.sizes))
+    prior = 1 / (1 + np.exp(-got.steps()))
+    assert np.abs((mapped[1] + 30 * prior) / (mapped.sum(axis=0) + 30) - got.map).max() < 0.02
