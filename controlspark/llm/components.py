@@ -6,11 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of
+from .common import Scratch, batch_of, tidy
 
 EDGES = "u bigint, v bigint"
 
 
+@tidy
 def _forest(batches):
     """Union-find within a partition: each node with the smallest node of its tree."""
     parent: dict[int, int] = {}

@@ -1,34 +1,41 @@
 """Language identification by language-bitmask n-gram filters.
 
 Each slot of one Bloom filter array holds a mask with a bit for each language:
-the filters of all languages, bit-sliced. An n-gram's mask is the conjunction
-of the slots its hashes name: all languages that contain it. A text's count for
-a language is the number of its n-grams whose mask has the language's bit, less
-what the language's fill rate makes one expect by chance. The largest decides.
+the filters of all languages, bit-sliced into bytes. An n-gram's mask is the
+conjunction of the slots its hashes name: all languages that contain it. A
+text's count for a language is the number of its n-grams whose mask has the
+language's bit, less what the language's fill rate makes one expect by chance.
+The largest decides. The array is sized by the number of n-grams.
 """
 
 from __future__ import annotations
 
 import functools
 import sys
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import batch_of, integers, passes, prepare
+from .common import Scratch, as_bytes, batch_of, part_passes, prepare, tidy
 from .textscan import U64, golden, mix64
 
 #: Labelled rows of each language that the filters are learned from, at most.
 FIT_ROWS = 1500
 #: A language holds an n-gram whose rate in its texts is at least so large a share of the largest rate.
 SHARE = 0.1
-SLOTS, HASHES = 1 << 20, 3
-SIZES = (2, 3, 4)
+HASHES, SIZES = 3, (2, 3, 4)
+#: Slots for each n-gram of the language that has most of them, and the least and largest powers of two.
+ROOM, LEAST_BITS, MOST_BITS = 16, 12, 26
+#: Names of languages, in bytes, up to which their sample's thresholds are broadcast.
+BROADCAST_BYTES = 8 << 20
 _GRAMS = pa.schema([("gram", pa.int64()), ("lang", pa.string()), ("n", pa.int64())])
+_FILTER = pa.schema([("part", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("coverage", pa.float64())])
 OUT = "doc_id bigint, held_out boolean, lang_pred string, score double, coverage double"
 UNKNOWN = "und"
@@ -44,7 +51,7 @@ def letters() -> np.ndarray:
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the letter n-grams within words (a space marks each word's ends), their text's index, and which texts have letters."""
+    """Hashes of the letter n-grams within words (a mark stands at each word's ends), their text's index, and which texts have letters."""
     codes = [np.frombuffer(t.decode("utf-8", "replace").lower().encode("utf-32-le"), dtype=np.uint32) for t in texts]
     joined = np.concatenate([x for c in codes for x in (c, np.zeros(1, dtype=np.uint32))])
     of = np.repeat(np.arange(len(texts)), [len(c) + 1 for c in codes])
@@ -81,94 +88,144 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class Filters(NamedTuple):
     langs: list[str]
-    masks: np.ndarray  #: SLOTS masks
+    masks: np.ndarray  #: (slots, bytes of a mask); the number of slots is a power of two
     chance: np.ndarray  #: of a bit of each language in the mask of an n-gram in no filter
 
+    def having(self, gram: np.ndarray) -> np.ndarray:
+        """The masks of n-grams."""
+        mask = self.masks[slots(gram, 0, len(self.masks))]
+        for i in range(1, HASHES):
+            mask &= self.masks[slots(gram, i, len(self.masks))]
+        return mask
 
-def slots(gram: np.ndarray, i: int) -> np.ndarray:
-    return (mix64(gram + golden(i + 1)) % U64(SLOTS)).astype(np.int64)
 
+def slots(gram: np.ndarray, i: int, size: int) -> np.ndarray:
+    return (mix64(gram + golden(i + 1)) & U64(size - 1)).astype(np.int64)
 
-def build(gram: np.ndarray, mask: np.ndarray, langs: list[str]) -> Filters:
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= n)
-    masks = np.zeros(SLOTS, dtype=kind)
+
+def bit(masks: np.ndarray, i: int) -> np.ndarray:
+    return (masks[:, i >> 3] >> np.uint8(i & 7)) & np.uint8(1)
+
+
+def empty_masks(size: int, n_langs: int) -> np.ndarray:
+    return np.zeros((size, max(1, -(-n_langs // 8))), dtype=np.uint8)
+
+
+def add(masks: np.ndarray, gram: np.ndarray, lang: np.ndarray) -> None:
+    """Puts n-grams, each with the number of a language, into the filters."""
     for i in range(HASHES):
-        np.bitwise_or.at(masks, slots(gram, i), mask.astype(kind))
-    fill = np.array([((masks >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
-    return Filters(langs, masks, fill**HASHES)
+        np.bitwise_or.at(masks, (slots(gram, i, len(masks)), lang >> 3), np.uint8(1) << (lang & 7).astype(np.uint8))
+
 
+def finish(masks: np.ndarray, langs: list[str]) -> Filters:
+    return Filters(langs, masks, np.array([bit(masks, i).mean() for i in range(len(langs))]) ** HASHES)
 
+
+@tidy
 def _count(batches):
     """Of each task, in how many texts of a language an n-gram occurs."""
     for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for first, texts in passes(batch):
-            own = langs[first : first + len(texts)]
-            names = sorted(set(own))
-            gram, of, _ = grams(texts)
-            pairs = np.unique(np.stack((gram, of.astype(U64))), axis=1) if len(gram) else np.empty((2, 0), dtype=U64)
-            lang_of = np.array([names.index(x) for x in own])[pairs[1].astype(np.int64)]
-            for i, name in enumerate(names):
-                g, n = np.unique(pairs[0][lang_of == i], return_counts=True)
+        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+        texts = as_bytes(batch.column("text"))
+        split: dict[int, list[np.ndarray]] = {}
+        for of, parts in part_passes(texts):
+            gram, part, _ = grams(parts)
+            whose = of[part]
+            cuts = np.flatnonzero(np.diff(np.sort(whose))) + 1
+            for own in np.split(np.argsort(whose, kind="stable"), cuts):
+                if len(own):
+                    split.setdefault(int(whose[own[0]]), []).append(np.unique(gram[own]))
+        for name in sorted(set(langs)):
+            own = [np.unique(np.concatenate(x)) if len(x) > 1 else x[0] for i, x in split.items() if langs[i] == name]
+            if own:
+                g, n = np.unique(np.concatenate(own), return_counts=True)
                 yield batch_of(_GRAMS, (g.view(np.int64), [name] * len(g), n))
 
 
-def fit(docs: DataFrame) -> Filters:
-    """Filters from at most FIT_ROWS labelled texts of each language outside the held-out fold, the first by a hash of doc_id.
+def sampled(docs: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """lang, text: of each language at most ``rows`` labelled texts outside the held-out fold, the first by a hash of doc_id; two scans."""
+    known = docs.where("lang is not null and doc_id is not null").where(fold() != 0)
+    per = scratch.save("langs", known.groupBy("lang").count())
+    # A language's texts by a hash, somewhat more than needed; the rest go in the ranking.
+    share = F.least(F.lit(1 << 30), F.ceil(F.lit(1.3 * (1 << 30) * rows) / F.col("count")) + (1 << 20))
+    limits = per.select("lang", share.alias("share"))
+    if (per.agg(F.sum(F.octet_length("lang") + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        limits = F.broadcast(limits)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = known.where("text is not null").select("doc_id", "lang", "text").join(limits, "lang").where(place < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return scratch.save("sample", near.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "text"))
+
+
+def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
+    """Filters from at most ``rows`` labelled texts of each language outside the held-out fold.
 
-    Rows without a text or a language teach nothing. With no labelled row there
-    is no language, and every text is ``und``. At most 64 languages, those with
-    the most rows.
+    Rows without a text, a language or a doc_id teach nothing. With no labelled
+    row there is no language, and every text is ``und``. Every language that has
+    a text is learned, and every n-gram of the sample counts.
     """
-    spark = prepare(docs.sparkSession)
-    known = docs.where("text is not null and lang is not null and doc_id is not null").where(fold() != 0).select("doc_id", "lang", "text")
-    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    if not rows:
-        return Filters([], np.zeros(SLOTS, dtype=np.uint8), np.zeros(0))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sample = None
-    for r in rows:
-        share = min(1 << 20, int(1.2 * (1 << 20) * FIT_ROWS / r["count"]) + 1)
-        one = known.where((F.col("lang") == r.lang) & (place < share)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-        sample = one if sample is None else sample.unionByName(one)
-    langs = sorted(r.lang for r in rows)
-    seen = {r.lang: min(FIT_ROWS, r["count"]) for r in rows}
-    # At most 64 * FIT_ROWS texts: dealt out again, as a limit leaves them in one task each.
-    counted = sample.repartition(12).select("lang", "text").mapInArrow(_count, "gram bigint, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    rates = [F.coalesce(F.max(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) / seen[x] for x in langs]
-    wide = counted.groupBy("gram").agg(*[r.alias(f"r{i}") for i, r in enumerate(rates)], F.sum("n").alias("n")).where("n > 1")
-    most = F.greatest(*[F.col(f"r{i}") for i in range(len(langs))], F.lit(0.0))
-    bits = [F.when((F.col(f"r{i}") > 0) & (F.col(f"r{i}") >= SHARE * most), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(len(langs))]
-    found = wide.select("gram", functools.reduce(lambda a, b: a.bitwiseOR(b), bits).alias("mask")).toArrow()
-    return build(found["gram"].to_numpy().view(U64), found["mask"].to_numpy().view(U64), langs)
+    scratch = Scratch(prepare(docs.sparkSession), "lang")
+    sample = sampled(docs, rows, scratch)
+    seen = sample.groupBy("lang").agg(F.count("*").alias("texts"))
+    langs = sorted(r.lang for r in seen.select("lang").collect())  # names only
+    if not langs:
+        return finish(empty_masks(1 << LEAST_BITS, 0), [])
+    # Dealt out again, as the ranking leaves a language in one task.
+    counted = sample.repartition(12).mapInArrow(_count, "gram bigint, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    rates = counted.join(F.broadcast(seen), "lang").select("gram", F.struct("lang", (F.col("n") / F.col("texts")).alias("rate")).alias("x"))
+    # A list has an entry a language at most.
+    holders = rates.groupBy("gram").agg(F.collect_list("x").alias("all"), F.max("x.rate").alias("most"))
+    held = scratch.save("held", holders.select("gram", F.explode(F.expr(f"filter(all, x -> x.rate >= {SHARE} * most)")).alias("x")).select("gram", "x.lang"))
+    most = held.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    size = 1 << int(np.clip(int(max(1, ROOM * most) - 1).bit_length(), LEAST_BITS, MOST_BITS))
+    number = {x: i for i, x in enumerate(langs)}
+
+    @tidy
+    def fill(batches: Iterator[pa.RecordBatch]):
+        masks = empty_masks(size, len(number))
+        for batch in batches:
+            add(masks, batch.column("gram").to_numpy().view(U64), np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64))
+        yield batch_of(_FILTER, ([zstandard.compress(masks.tobytes(), 1)],))
+
+    masks = empty_masks(size, len(langs))
+    for row in held.coalesce(6).mapInArrow(fill, "part binary").toLocalIterator():  # six parts of the filters' size
+        masks |= np.frombuffer(zstandard.decompress(row.part), dtype=np.uint8).reshape(masks.shape)
+    scratch.drop("sample", "held")
+    return finish(masks, langs)
+
+
+def decide(texts: list[bytes], filters: Filters) -> list[tuple[str, float, float]]:
+    """Of each text: its language, the score and the coverage."""
+    langs, chance = filters.langs, filters.chance
+    hits, n, has = np.zeros((len(texts), len(langs))), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
+    for of, parts in part_passes(texts):
+        gram, part, some = grams(parts)
+        whose = of[part]
+        np.logical_or.at(has, of, some)
+        n += np.bincount(whose, minlength=len(texts))
+        mask = filters.having(gram)
+        # Popcounts of the slices.
+        for i in range(len(langs)):
+            hits[:, i] += np.bincount(whose, weights=bit(mask, i), minlength=len(texts))
+    true = np.maximum(0, hits - chance * n[:, None]) / np.maximum(1e-9, 1 - chance)  # less chance hits
+    out = []
+    for i in range(len(texts)):
+        if not has[i] or not langs:
+            out.append((UNKNOWN, 0.0, 0.0))
+            continue
+        best = int(np.argmax(true[i]))
+        share = (true[i] / true[i, best]) ** 8 if true[i, best] else np.ones(len(langs))
+        out.append((langs[best], float(1 / share.sum()), min(1.0, float(true[i, best] / max(1, n[i])))))
+    return out
 
 
 def predictor(filters: Filters):
-    langs, masks, chance = filters
-    kind = masks.dtype.type
-
+    @tidy
     def predict(batches):
         for batch in batches:
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for first, texts in passes(batch):
-                gram, of, has = grams(texts)
-                n = np.bincount(of, minlength=len(texts))
-                mask = masks[slots(gram, 0)]
-                for i in range(1, HASHES):
-                    mask &= masks[slots(gram, i)]
-                # Popcounts of the slices, less chance hits.
-                hits = np.stack([np.bincount(of, weights=(mask >> kind(i)) & kind(1), minlength=len(texts)) for i in range(len(langs))], axis=1) if langs else np.zeros((len(texts), 0))
-                true = np.maximum(0, hits - chance * n[:, None]) / np.maximum(1e-9, 1 - chance)
-                out = []
-                for i in range(len(texts)):
-                    d = first + i
-                    if not has[i] or not langs:
-                        out.append((ids[d], held[d], UNKNOWN, 0.0, 0.0))
-                        continue
-                    best = int(np.argmax(true[i]))
-                    total = float((true[i] ** 8).sum())
-                    out.append((ids[d], held[d], langs[best], float(true[i, best] ** 8 / total) if total else 1 / len(langs), min(1.0, float(true[i, best] / max(1, n[i])))))
-                yield batch_of(_OUT, zip(*out, strict=True))
+            found = decide(as_bytes(batch.column("text")), filters)
+            if found:
+                yield batch_of(_OUT, (batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), *zip(*found, strict=True)))
 
     return predict
 
@@ -176,17 +233,14 @@ def predictor(filters: Filters):
 def tagged(docs: DataFrame, filters: Filters) -> DataFrame:
     """The rows of docs, all columns kept, with the language and coverage that ``identify`` gives, in __pred and __coverage: by row, whatever the doc_id."""
     prepare(docs.sparkSession)
-    predict, schema = predictor(filters), StructType([*docs.schema.fields, StructField("__pred", StringType()), StructField("__coverage", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField("__pred", StringType()), StructField("__coverage", DoubleType())])
 
+    @tidy
     def tag(batches):
         for batch in batches:
-            n = batch.num_rows
-            own = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), batch.column("text")], names=["doc_id", "held_out", "text"])
-            at = 0
-            for found in predict([own]):
-                part = batch.slice(at, found.num_rows)
-                at += found.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns, found.column("lang_pred"), found.column("coverage")], names=[*part.schema.names, "__pred", "__coverage"])
+            found = decide(as_bytes(batch.column("text")), filters)
+            pred, cover = pa.array([x[0] for x in found], pa.string()), pa.array([x[2] for x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pred, cover], names=[*batch.schema.names, "__pred", "__coverage"])
 
     return docs.mapInArrow(tag, schema)
 
@@ -196,7 +250,8 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     Only the text is an input. A null text or one without a letter is ``und``
     with score 0. Between equal counts the first language by name wins. Repeated
-    and null doc_ids keep a row each; a null doc_id is not held out.
+    and null doc_ids keep a row each; a null doc_id is not held out. A text
+    longer than a pass is read in parts, cut between words.
     """
     prepare(docs.sparkSession)
     held = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")

@@ -38,15 +38,17 @@ _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SEGMENT + 4096)
-        _powers[:] = []
-        for base in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(n, base, dtype=U64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+    """BASE**i and BASE**-i modulo 2**64 for i < n; those of a segment are kept."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    size, out = max(n, SEGMENT + 4096), []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(size, base, dtype=U64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if size == SEGMENT + 4096:
+        _powers[:] = out
+    return out[0], out[1]
 
 
 class Words(NamedTuple):
