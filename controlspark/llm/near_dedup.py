@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, batch_of, integers, passes
+from .common import Scratch, batch_of, integers, own_ids, passes, tidy, with_row_keys
 from .components import components
 from .textscan import GOLDEN, U64, golden, mix64, shingles, words
 
@@ -83,6 +83,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def signer(k: int, n_bands: int):
+    @tidy
     def sign(batches):
         for batch in batches:
             ids = integers(batch, "doc_id")
@@ -106,6 +107,7 @@ def verifier(k: int, numerator: int):
     """Streams over (hub, block) runs, the hub first: pairs with 100 * common >= numerator * union."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    @tidy
     def verify(batches):
         hub, hub_set = None, None
         for batch in batches:
@@ -131,6 +133,7 @@ def verifier(k: int, numerator: int):
 def _counter(k: int):
     """A table of SLOTS shingle counts for each partition, in PIECES rows."""
 
+    @tidy
     def count(batches):
         total = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
@@ -148,6 +151,7 @@ def _counter(k: int):
     return count
 
 
+@tidy
 def _add_pieces(batches):
     now, total = None, None
     for batch in batches:
@@ -165,6 +169,7 @@ def _prefixer(k: int, numerator: int, counts: np.ndarray):
     """Of each set, the rarest shingles, of which a similar set must share one."""
     schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64()), ("size", pa.int64()), ("left", pa.int64()), ("shingle", pa.int64())])
 
+    @tidy
     def prefix(batches):
         for batch in batches:
             ids, groups = integers(batch, "doc_id"), integers(batch, "component")
@@ -219,31 +224,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     Jaccard similarity of their shingle sets is ``similarity`` (a hundredth's
     multiple) or more; component_id is the smallest doc_id reachable. Null and
     blank texts have no shingles and are linked with nothing. Ties cannot
-    arise: the smallest id decides. Rows that repeat a doc_id give a row each;
-    rows with a null doc_id are one document each by themselves, with a null
-    component_id, and are kept. An empty table gives an empty one. Whole texts
-    are read at any length, one at a time.
+    arise: the smallest id decides. Rows that repeat a doc_id, or lack one, are
+    documents of their own, linked like all others; nulls are larger than every
+    id, and of a group that has none the first row as read is kept. An empty
+    table gives an empty one. Whole texts are read at any length, one at a time.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    numerator, n_bands = round(100 * similarity), bands_for(similarity)
+    scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
-    signed = scratch.save("signed", known.mapInArrow(signer(k, n_bands), SIGNED))
+    if own_ids(docs):
+        return _groups(docs, scratch, k, similarity).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    rows = with_row_keys(docs, scratch)
+    found = scratch.save("found", _groups(rows.select(F.col("__row").alias("doc_id"), "text"), scratch, k, similarity).withColumnRenamed("doc_id", "__row"))
+    names = rows.select("__row", "doc_id")
+    own = found.join(names, "__row").withColumnRenamed("component_id", "__first")
+    firsts = names.select(F.col("__row").alias("__first"), F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("__row") == F.col("__first")))
+    return own.join(firsts, "__first").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _groups(docs: DataFrame, scratch: Scratch, k: int, similarity: float) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows with a doc_id each of its own."""
+    numerator, n_bands = round(100 * similarity), bands_for(similarity)
+    signed = scratch.save("signed", docs.mapInArrow(signer(k, n_bands), SIGNED))
     shingled = signed.where("n_shingles > 0")
     classes = scratch.save("classes", shingled.groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("n_shingles", "fp1", "fp2", "first.*"))
 
     entries = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = scratch.save("buckets", entries.join(shared, ["band", "key"]))
-    texts = scratch.save("texts", known.join(buckets.select("doc_id").distinct(), "doc_id"))
+    texts = scratch.save("texts", docs.join(buckets.select("doc_id").distinct(), "doc_id"))
     stars = scratch.save("stars", buckets.where("doc_id <> hub").select("hub", F.col("doc_id").alias("id")).distinct())
     links = scratch.save("links", _verified(stars, texts, k, numerator))
     first = scratch.save("first", components(links, scratch, "star"))
 
-    grouped = buckets.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = grouped.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "key")
-    members = grouped.join(mixed, ["band", "key"]).select("doc_id", "component").distinct()
+    grouped = scratch.save("grouped", buckets.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    # Written, so that the join shuffles both sides and a hot bucket is split.
+    mixed = scratch.save("mixed", grouped.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("band", "key"))
+    members = scratch.save("members", grouped.join(mixed, ["band", "key"]).select("doc_id", "component")).distinct()
     rest = scratch.save("rest", texts.join(members, "doc_id").select("doc_id", "component", "text"))
     pairs = scratch.save("pairs", _across(rest, k, numerator).join(stars, ["hub", "id"], "left_anti"))
     more = scratch.save("more", _verified(pairs, texts, k, numerator))
@@ -252,6 +269,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
 
     named = classes.select("n_shingles", "fp1", "fp2", F.col("doc_id").alias("first_id")).join(groups, "first_id", "left")
     named = named.select("n_shingles", "fp1", "fp2", F.coalesce("component", "first_id").alias("component_id"))
-    found = signed.drop("bands").join(named, ["n_shingles", "fp1", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    unknown = docs.where("doc_id is null").mapInArrow(signer(k, n_bands), SIGNED).select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
-    return found.unionByName(unknown).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return signed.drop("bands").join(named, ["n_shingles", "fp1", "fp2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
