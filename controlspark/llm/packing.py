@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, integers, passes
+from .common import Scratch, batch_of, passes, tidy
 
 WINDOW = 2048
 END_ID = 1
-#: Words whose ids a worker keeps; the store starts anew beyond it.
-KEEP_WORDS = 700_000
+#: Bytes, about, of the words whose ids a worker keeps; the store starts anew beyond it.
+KEEP_BYTES = 40 << 20
+#: Strings of the tokenizer's special tokens begin so; a text with one goes to the tokenizer as a whole.
+SPECIAL = b"<|"
 LETTERS_THEN_ASCII = re.compile(r"([^\W\d_]+)[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]")
 _PIECES = pa.schema([("task", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 PIECES = "task bigint, rank bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -49,8 +51,8 @@ class WordIds(dict):
         import tiktoken
         from tokenizers import Tokenizer
 
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         inside = [*range(97, 123), *range(0x80, 0xC0), *range(0xC2, 0xF5)]
         final = [*range(97, 123), *range(0x80, 0xC0)]
         free = [x for x in range(256) if x not in set(inside)]
@@ -77,20 +79,24 @@ class WordIds(dict):
                 ids = array("I", self.merge(raw[:-1] + bytes((self.final[raw[-1]],)))).tobytes()
             else:
                 ids = self.whole(word)
-        elif (m := LETTERS_THEN_ASCII.match(word)) and m[1].isalpha():
+        elif (m := LETTERS_THEN_ASCII.match(word)) and m[1].lower().isalpha():
             ids = self[m[1]] + self[word[m.end(1) :]]
         else:
             ids = self.whole(word)
         self[word] = ids
+        self.held += 2 * len(word) + len(ids) + 190
         return ids
 
     def whole(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: bytes) -> bytes:
-        if len(self) > KEEP_WORDS:
+        if SPECIAL in text:
+            return self.whole(text.decode("utf-8", "replace"))
+        if self.held > KEEP_BYTES:
             self.clear()
-        return b"".join(map(self.__getitem__, text.lower().decode().replace("\n", " ").split(" ")))
+            self.held = 0
+        return b"".join(map(self.__getitem__, text.lower().decode("utf-8", "replace").replace("\n", " ").split(" ")))
 
 
 @functools.cache
@@ -103,6 +109,7 @@ def cutter(path: str, window: int, end: int):
     """The pieces of each document; rests get a rank among those of their length in this task."""
     last = np.array([end], dtype="<u4").tobytes()
 
+    @tidy
     def cut(batches):
         from pyspark import TaskContext
 
@@ -219,7 +226,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END_ID) ->
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document ends with the id ``end``; a null or empty text is that id
-    alone. Repeated and null doc_ids are documents of their own. Sequences hold
+    alone. The strings of special tokens are those tokens, as the tokenizer's
+    file has it. Bytes that are no UTF-8 count as replacement characters.
+    Repeated and null doc_ids are documents of their own. Sequences hold
     at most ``window`` ids without gaps from offset 0. An empty table gives an
     empty one. ``path`` names the tokenizer's file on every executor.
     """
