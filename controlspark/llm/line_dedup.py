@@ -1,26 +1,28 @@
 """Removal of repeated passages by content-defined chunks of lines; built-in functions only.
 
-A text is cut into lines after line ends and, as many texts have none, after
-signs that end a clause. A rolling hash over the hashes of two neighbouring
-lines decides whether a chunk ends, so the same passage is cut alike wherever it
-stands. As one cut can miss a short passage, SALTS cuts are made. A chunk of two
-lines and MIN_CHARS characters or more whose key occurs again is a candidate;
-candidates of one key are compared byte by byte, and all occurrences but the
-first (by doc_id, then place) are removed.
+A text is cut into lines of a few words: after line ends, after signs that end a
+clause and after words that end in certain letters, as most texts have few line
+ends. A rolling hash over the hashes of two neighbouring lines decides whether a
+chunk ends, so the same passage is cut alike wherever it stands. A chunk of LONG
+characters or more whose key occurs again is a candidate. Around candidates, as
+far as REACH chunks, every two lines in a row are compared byte by
+byte with all others of that kind, which carries a match line by line to the
+passage's ends. Of equal ones all but the first (by doc_id, then place) are
+removed, where runs of such lines have MIN_CHARS characters or more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, with_row_keys
+from .common import Scratch, own_ids, with_row_keys
 
-SALTS = 3
-MIN_CHARS = 64
-#: A chunk ends where the first hexadecimal digit of the rolling hash is below this one: 5 of 16.
-ENDS_BELOW = "5"
-LINE = r"(?s).*?(?:\n|[.!?;:,] )|.+"
+#: Characters that a chunk and a run of repeated lines have at least.
+LONG, MIN_CHARS = 32, 64
+#: Chunks before and after a repeated one whose lines are compared.
+REACH = 3
+LINE = r"(?s).*?(?:\n|[.!?;:,st%] |[。、，！？])|.+"
 
 
 def _bound(df: DataFrame, *columns: str) -> DataFrame:
@@ -28,49 +30,53 @@ def _bound(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("*", F.expr(f"inline(array(struct({', '.join(columns)})))"))
 
 
-def _bare(docs: DataFrame) -> DataFrame:
-    """The lines without outer blanks in place of the text; other columns stay."""
-    others = [c for c in docs.columns if c != "text"]
-    lines = docs.select(*others, F.explode(F.array(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LINE), F.lit(0)))).alias("lines"))
-    return _bound(lines, "transform(lines, x -> btrim(x, ' \\n')) as bare").drop("lines")
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """The lines with their hashes and their lengths."""
-    return _bound(_bare(docs), "transform(bare, x -> md5(x)) as hashes", "transform(bare, x -> length(x)) as sizes")
-
+    """The lines, with their ends, in place of the text; other columns stay."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(*others, F.explode(F.array(F.regexp_extract_all("text", F.lit(LINE), F.lit(0)))).alias("lines"))
 
-def _chunks(lines: DataFrame) -> DataFrame:
-    """Adds chunks: for each salt the spans (salt, first, last) of two lines and MIN_CHARS characters or more."""
-    lines = _bound(lines, "transform(hashes, (h, i) -> concat(coalesce(get(hashes, i - 1), ''), h)) as seeds", "size(hashes) - 1 as end")
-    # A hexadecimal string is below ENDS_BELOW if its first digit is.
-    lines = _bound(lines, *[f"array_compact(transform(seeds, (x, i) -> if(i = end or md5(concat('{s}', x)) < '{ENDS_BELOW}', i, null))) as ends{s}" for s in range(SALTS)])
-    spans = [f"transform(ends{s}, (e, j) -> named_struct('salt', {s}, 'first', coalesce(get(ends{s}, j - 1), -1) + 1, 'last', e))" for s in range(SALTS)]
-    long = f"aggregate(slice(sizes, x.first + 1, x.last - x.first + 1), 0, (a, y) -> a + y) >= {MIN_CHARS}"
-    return _bound(lines, f"filter(concat({', '.join(spans)}), x -> x.last > x.first and {long}) as chunks")
 
+def _chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, key, last, low, high, final: the chunks, the lines from REACH chunks before to REACH chunks after, and whether a chunk is its text's last.
 
-KEY = "xxhash64(slice(hashes, x.first + 1, x.last - x.first + 1))"
-TEXT = "array_join(slice(bare, x.first + 1, x.last - x.first + 1), ' ')"
+    Chunks of fewer than LONG characters have no key; only last ones of them are there.
+    """
+    lines = _bound(_lines(docs), "transform(lines, x -> ascii(md5(x))) as digits", "size(lines) - 1 as end")
+    # The rolling hash: the digits of two neighbouring lines; one chunk in two lines.
+    lines = _bound(lines, "array_compact(transform(digits, (v, i) -> if(i = end or (coalesce(get(digits, i - 1), 0) + v) % 2 = 0, i, null))) as ends")
+    first = "coalesce(get(ends, j - 1), -1) + 1"
+    chunk = f"named_struct('text', array_join(slice(lines, {first} + 1, e - ({first}) + 1), ''), 'last', e, 'low', coalesce(get(ends, j - {REACH + 1}), -1) + 1, 'high', coalesce(get(ends, j + {REACH}), end), 'final', e = end)"
+    each = lines.select("doc_id", F.expr(f"explode(transform(ends, (e, j) -> {chunk}))").alias("c"))
+    return each.where(f"c.final or length(c.text) >= {LONG}").select("doc_id", F.when(F.length("c.text") >= LONG, F.xxhash64("c.text")).alias("key"), "c.last", "c.low", "c.high", "c.final")
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_lines and spans: the runs (first, last) of lines, from 0, that repeat earlier ones; for every row of docs with a doc_id."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    # Besides its chunks, a row of salt -1 for each text, whose last line gives their number.
-    spans = f"concat(array(named_struct('salt', -1, 'key', 0L, 'first', 0, 'last', size(bare) - 1)), transform(chunks, x -> named_struct('salt', x.salt, 'key', {KEY}, 'first', x.first, 'last', x.last)))"
-    every = scratch.save("keys", _chunks(_lines(docs)).select("doc_id", F.expr(f"explode({spans})").alias("c")).select("doc_id", "c.*"))
-    keys, sizes = every.where("salt >= 0"), every.where("salt < 0").select("doc_id", F.expr("cast(last + 1 as bigint)").alias("n_lines")).distinct()
+    """doc_id, n_lines and spans: the disjoint runs (first, last) of lines, from 0, that repeat earlier ones; for every row of docs.
+
+    doc_id must tell the rows apart.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    every = scratch.save("keys", _chunks(docs))
+    keys = every.where("key is not null")
     # Written, as an aggregate's own partitions can't be dealt anew: both sides of the joins are shuffled, and a hot group is split.
-    again = scratch.save("again", keys.groupBy("salt", "key").agg(F.count("*").alias("n")).where("n > 1").select("salt", "key"))
-    spots = keys.join(again, ["salt", "key"]).groupBy("doc_id").agg(F.collect_list(F.struct("salt", "first", "last")).alias("spots"))
+    again = scratch.save("again", keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    near = scratch.save("near", keys.join(again, "key").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("near")))
+    scratch.drop("again")
     # Only texts with candidates are cut into lines again.
-    found = _bare(docs.join(spots, "doc_id"))
-    marked = scratch.save("marked", found.select("doc_id", F.expr(f"transform(spots, x -> named_struct('salt', x.salt, 'first', x.first, 'last', x.last, 'text', {TEXT}))").alias("spots")))
-    spots = marked.select("doc_id", F.explode("spots").alias("x")).select("doc_id", "x.*")
-    firsts = scratch.save("firsts", spots.groupBy("salt", "text").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    copies = spots.join(firsts, ["salt", "text"]).where("struct(doc_id, first) <> origin")
-    spans = copies.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
+    places = "filter(array_distinct(flatten(transform(near, x -> sequence(x.low, x.high)))), i -> i < size(lines) - 1)"
+    pair = "named_struct('line', i, 'text', concat(lines[i], lines[i + 1]), 'sizes', array(length(lines[i]), length(lines[i + 1])))"
+    pairs = _bound(_lines(docs.join(near, "doc_id")), f"{places} as places").select("doc_id", F.expr(f"inline(transform(places, i -> {pair}))"))
+    pairs = scratch.save("pairs", pairs)
+    scratch.drop("near")
+    firsts = scratch.save("firsts", pairs.groupBy("text").agg(F.min(F.struct("doc_id", "line")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    copies = pairs.join(firsts, "text").where("struct(doc_id, line) <> origin")
+    marked = copies.select("doc_id", F.expr("inline(array(struct(line as line, sizes[0] as chars), struct(line + 1 as line, sizes[1] as chars)))")).groupBy("doc_id", "line").agg(F.max("chars").alias("chars"))
+    marked = scratch.save("marked", marked)
+    scratch.drop("pairs", "firsts")
+    run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    runs = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("chars").alias("chars"))
+    spans = runs.where(f"chars >= {MIN_CHARS}").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    sizes = docs.select("doc_id").join(every.where("final").select("doc_id", "last"), "doc_id", "left").select("doc_id", F.coalesce(F.col("last") + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     return sizes.join(spans, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"))
 
 
@@ -80,42 +86,50 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null texts stay null, empty ones empty. Rows that repeat a doc_id or lack
     one are texts of their own. The first occurrence of a passage stays, in the
     row with the smallest doc_id (rows without one come last) and there at the
-    first place; copies in the same row go too. A row that only repeats others
-    becomes empty, not absent.
+    first place; copies in the same row go too. Bytes are compared, white space
+    and line ends too. A row that only repeats others becomes empty, not absent. An empty
+    table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = with_row_keys(docs, scratch)
     found = repeated_lines(rows.select(F.col("__row").alias("doc_id"), "text"), scratch)
     spans = scratch.save("spans", found.where("size(spans) > 0").select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans")))
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))), "")
     lines = F.when(F.col("__spans").isNotNull(), F.regexp_extract_all("text", F.lit(LINE), F.lit(0)))
+    joined = rows.join(spans, "__row", "left").select("*", F.explode_outer(F.array(lines)).alias("__lines"))
+    # What stands between the spans: each line is looked at once.
+    gaps = "transform(concat(__spans, array(named_struct('first', size(__lines), 'last', 0))), (s, i) -> named_struct('at', coalesce(get(__spans, i - 1).last, -1) + 1, 'end', s.first))"
+    kept = F.expr(f"array_join(flatten(transform({gaps}, g -> slice(__lines, g.at + 1, g.end - g.at))), '')")
     columns = [F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return rows.join(spans, "__row", "left").select("*", F.explode_outer(F.array(lines)).alias("__lines")).select(*columns)
+    return joined.select(*columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines and n_removed (lines that repeat earlier ones) of every row with a doc_id."""
-    spans = repeated_lines(docs, Scratch(docs.sparkSession, "lines"))
-    removed = F.expr("size(array_distinct(flatten(transform(spans, x -> sequence(x.first, x.last)))))")
-    return spans.select("doc_id", "n_lines", removed.cast("bigint").alias("n_removed"))
-
-
-ORACLE_LINES = r"""
-lines as (
-  select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?;:,] )|.+'), lambda x: x <> '') as lines from {documents} where doc_id is not null),
-bare as (select doc_id, lines, list_transform(lines, lambda x: trim(x, ' ' || chr(10))) as bare from lines),
-hashed as (select *, list_transform(bare, lambda x: md5(x)) as hashes from bare),
-cuts as (
-  select doc_id, lines, bare, salt, list_filter(range(0, len(hashes)), lambda i: i = len(hashes) - 1 or left(md5(concat(salt, case when i > 0 then hashes[i] else '' end, hashes[i + 1])), 1) < '5') as ends
-  from hashed, (select unnest(['0', '1', '2']) as salt)),
+    """doc_id, n_lines and n_removed (lines that repeat earlier ones) of every row; rows are told apart as in ``dedup_lines``."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    removed = F.expr("aggregate(spans, 0L, (n, x) -> n + x.last - x.first + 1)").cast("bigint").alias("n_removed")
+    if own_ids(docs):
+        return repeated_lines(docs.select("doc_id", "text"), scratch).select("doc_id", "n_lines", removed)
+    rows = with_row_keys(docs.select("doc_id", "text"), scratch)
+    counted = repeated_lines(rows.select(F.col("__row").alias("doc_id"), "text"), scratch).select(F.col("doc_id").alias("__row"), "n_lines", removed)
+    return rows.select("__row", F.col("doc_id").cast("bigint").alias("doc_id")).join(counted, "__row").drop("__row")
+
+
+ORACLE_LINES = rf"""
+lines as (select doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{LINE}'), lambda x: x <> '') as lines from {{documents}} where doc_id is not null),
+hashed as (select doc_id, lines, list_transform(lines, lambda x: ascii(md5(x))) as digits from lines),
+cuts as (select doc_id, lines, list_filter(range(0, len(digits)), lambda i: i = len(digits) - 1 or (case when i > 0 then digits[i] else 0 end + digits[i + 1]) % 2 = 0) as ends from hashed),
 spans as (
-  select doc_id, bare, salt, unnest(list_transform(ends, lambda e, j: {{'first': case when j = 1 then 0 else ends[j - 1] + 1 end, 'last': e}})) as s from cuts),
-chunks as (
-  select doc_id, salt, s.first as first, s.last as last, array_to_string(bare[s.first + 1 : s.last + 1], ' ') as body,
-         list_sum(list_transform(bare[s.first + 1 : s.last + 1], lambda x: length(x))) as chars
-  from spans where s.last > s.first),
-ranked as (select *, row_number() over (partition by salt, body order by doc_id, first) as k from chunks where chars >= 64),
-removed as (select doc_id, list_distinct(flatten(list(range(first, last + 1)))) as gone from ranked where k > 1 group by doc_id)
+  select doc_id, lines, unnest(list_transform(range(1, len(ends) + 1), lambda j: {{{{
+    'first': case when j = 1 then 0 else ends[j - 1] + 1 end, 'last': ends[j],
+    'low': case when j <= {REACH + 1} then 0 else ends[j - {REACH + 1}] + 1 end, 'high': ends[least(j + {REACH}, len(ends))]}}}})) as s from cuts),
+chunks as (select doc_id, s, array_to_string(lines[s.first + 1 : s.last + 1], '') as body from spans),
+again as (select body from chunks where length(body) >= {LONG} group by body having count(*) > 1),
+places as (select distinct doc_id, unnest(range(s.low, s.high + 1)) as i from chunks where body in (select body from again)),
+pairs as (select doc_id, i, own[i + 1] || own[i + 2] as t, length(own[i + 1]) as a, length(own[i + 2]) as b from places join (select doc_id, lines as own from lines) using (doc_id) where i < len(own) - 1),
+ranked as (select *, row_number() over (partition by t order by doc_id, i) as k from pairs),
+marked as (select doc_id, i, max(n) as n from (select doc_id, i, a as n from ranked where k > 1 union all select doc_id, i + 1, b from ranked where k > 1) group by doc_id, i),
+runs as (select doc_id, run, list(i) as own, sum(n) as chars from (select *, i - row_number() over (partition by doc_id order by i) as run from marked) group by doc_id, run),
+removed as (select doc_id, flatten(list(own)) as gone from runs where chars >= {MIN_CHARS} group by doc_id)
 """
 
 ORACLE_SQL = "with " + ORACLE_LINES.format(documents="documents") + "select l.doc_id, cast(len(l.lines) as bigint) as n_lines, cast(coalesce(len(r.gone), 0) as bigint) as n_removed from lines l left join removed r using (doc_id)"
