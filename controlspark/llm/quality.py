@@ -1,11 +1,14 @@
 """A quality classifier: random-indexing word vectors, a two-layer network, calibrated probabilities.
 
-Every word bucket has a sparse ternary index vector made from its hash. A word
-vector is the sum of the index vectors of its neighbours in the fitting texts.
-A document is the mean of its words' vectors, beside a few shares (repeats,
-signs, capitals, lengths) that a mean of word vectors cannot show. A hidden
-layer of rectified units and a logistic output are trained with numpy on the
-driver, and a temperature fitted on rows set aside calibrates the probability.
+Random indexing: a word has a fixed sparse ternary index vector, made from its
+hash, and a context vector, the sum of its neighbours' index vectors in all texts
+outside the held-out fold (words share context vectors by a hash). As a corpus
+keeps having new words, a word also has the sum of the index vectors of its byte
+trigrams. A document is the mean of its words' trigram vectors, of their context
+vectors and of the products of neighbours' trigram vectors, and nothing else. A
+hidden layer of rectified units and a logistic output are trained with numpy on
+the driver, and a temperature fitted on rows set aside calibrates the
+probability.
 """
 
 from __future__ import annotations
@@ -14,106 +17,145 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, integers, passes, prepare
+from .common import Scratch, as_bytes, batch_of, part_passes, prepare, tidy
 from .lang_id import fold
 from .textscan import NOT_SPACE, U64, golden, mix64, words
 
-#: Labelled rows that the vectors and the network are fitted on, at most.
+#: Labelled rows that the network is fitted on, at most.
 FIT_ROWS = 8000
-BUCKETS, DIM, NONZERO, REACH = 1 << 13, 48, 4, 2
+#: Context vectors; words with equal hashes share one.
+BUCKETS = 1 << 15
+#: Index vectors, and their length and places that are not zero.
+INDEX, DIM, NONZERO = 1 << 13, 32, 4
+#: Neighbours on each side, and rows of the table of context vectors that are summed together.
+REACH, PIECE = 2, 1 << 11
 HIDDEN, EPOCHS, BATCH, SEED = 32, 60, 128, 7
-SHARES = 16
 THRESHOLD = 0.3
-_TABLE = pa.schema([("data", pa.binary())])
+_TABLE = pa.schema([("piece", pa.int32()), ("data", pa.binary())])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("features", pa.list_(pa.float32()))])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 OUT = "doc_id bigint, held_out boolean, score double, predicted int"
 KEEP_CASE = np.arange(256, dtype=np.uint8)
 
 
-def index_vectors() -> np.ndarray:
-    """BUCKETS sparse ternary vectors: NONZERO places each, half of them negative."""
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    rows = np.arange(BUCKETS)
-    h = mix64(rows.astype(U64) + golden(1))
+def places() -> np.ndarray:
+    """Of INDEX sparse vectors the NONZERO places; the odd ones are 1, the others -1."""
+    h, out = mix64(np.arange(INDEX, dtype=U64) + golden(1)), np.empty((INDEX, NONZERO), dtype=np.int64)
     for i in range(NONZERO):
         h = mix64(h + golden(i + 2))
-        out[rows, (h % U64(DIM)).astype(np.int64)] += 1 if i % 2 else -1
+        out[:, i] = (h % U64(DIM)).astype(np.int64)
     return out
 
 
+def summed(rows: np.ndarray, index: np.ndarray, n: int, where: np.ndarray) -> np.ndarray:
+    """n vectors: the sums of the index vectors, each added to a row."""
+    at = (rows[:, None] * DIM + where[index]).reshape(-1)
+    signs = np.tile(np.where(np.arange(NONZERO) % 2, 1.0, -1.0), len(rows))
+    return np.bincount(at, weights=signs, minlength=n * DIM).reshape(n, DIM).astype(np.float32)
+
+
 def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % U64(BUCKETS)).astype(np.int64)
+    return (hashes & U64(BUCKETS - 1)).astype(np.int64)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    return x / np.maximum(1e-6, np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None]
+
+
+class Lexicon(NamedTuple):
+    """The distinct words of a pass."""
+
+    bounds: np.ndarray  #: text i has the words bounds[i]:bounds[i + 1]
+    ids: np.ndarray  #: of each word, the number of its distinct word
+    hashes: np.ndarray  #: of the distinct words
+    trigrams: np.ndarray  #: their trigram vectors
 
 
+def lexicon(texts: list[bytes], where: np.ndarray) -> Lexicon:
+    w = words(texts, NOT_SPACE, KEEP_CASE)
+    own, first, ids = np.unique(w.hashes, return_index=True, return_inverse=True)
+    lengths = w.ends[first] - w.starts[first]
+    # The words stand between white space, which marks their ends; as many trigrams as bytes.
+    of = np.repeat(np.arange(len(own)), lengths)
+    at = np.repeat(w.starts[first] - np.cumsum(lengths) + lengths, lengths) + np.arange(len(of))
+    data = np.concatenate(([10], w.data, [10])).astype(np.uint32)
+    data[1:-1][~NOT_SPACE[w.data]] = 10
+    code = (data[at] << np.uint32(16)) | (data[at + 1] << np.uint32(8)) | data[at + 2]
+    slot = (mix64(code.astype(U64) + golden(5)) & U64(INDEX - 1)).astype(np.int64)
+    return Lexicon(w.bounds, ids, own, unit(summed(of, slot, len(own), where)))
+
+
+@tidy
 def _contexts(batches):
-    """A task's sums of neighbours' index vectors."""
-    index, total = index_vectors(), np.zeros((BUCKETS, DIM), dtype=np.float32)
+    """A task's sums of neighbours' index vectors, for each bucket of words, in pieces."""
+    index, total = unit(summed(np.arange(INDEX), np.arange(INDEX), INDEX, places())), np.zeros((BUCKETS, DIM), dtype=np.float64)
     for batch in batches:
-        for _, texts in passes(batch):
-            w = words(texts)
-            b = bucket(w.hashes)
-            of = np.repeat(np.arange(len(texts)), np.diff(w.bounds))
+        for _, parts in part_passes(as_bytes(batch.column("text"))):
+            w = words(parts, NOT_SPACE, KEEP_CASE)
+            if not len(w.hashes):
+                continue
+            of, near = np.repeat(np.arange(len(parts)), np.diff(w.bounds)), index[(mix64(w.hashes) & U64(INDEX - 1)).astype(np.int64)]
+            sums = np.zeros_like(near)
             for d in range(1, REACH + 1):
-                same = of[d:] == of[:-d]
-                left, right = b[:-d][same], b[d:][same]
-                pairs, n = np.unique(np.concatenate((left * BUCKETS + right, right * BUCKETS + left)), return_counts=True)
-                np.add.at(total, pairs // BUCKETS, index[pairs % BUCKETS] * n[:, None].astype(np.float32))
-    yield batch_of(_TABLE, ([total.tobytes()],))
-
-
-def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """One row a text: the mean word vector and the shares. An empty text has zeros."""
-    w = words(texts)
-    n = np.diff(w.bounds)
-    out = np.zeros((len(texts), DIM + SHARES), dtype=np.float32)
-    full = np.flatnonzero(n)
-    if not len(full):
-        return out
-    b = bucket(w.hashes)
-    for i in range(0, len(b), 1 << 16):  # gathered vectors of a run of words at a time
-        part = b[i : i + (1 << 16)]
-        of = np.searchsorted(w.bounds, np.arange(i, i + len(part)), side="right") - 1
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1))
-        out[of[cut], :DIM] += np.add.reduceat(vectors[part], cut, axis=0)
-    out[full, :DIM] /= n[full, None]
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = np.concatenate(([0], ends[:-1]))
-    share = lambda hit: np.add.reduceat(hit.astype(np.int64), starts) / (ends - starts)
-    letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
-    sign = (raw > 32) & (raw < 127) & ~letter & ~((raw >= 48) & (raw <= 57))
-    per_word = lambda x: np.add.reduceat(np.append(x, 0), np.minimum(w.bounds[:-1], len(x)))[: len(texts)] / np.maximum(n, 1)
-    last = w.data[w.ends - 1]
-    size = w.ends - w.starts
-    again = np.zeros(len(b), dtype=np.int64)
-    again[1:] = w.hashes[1:] == w.hashes[:-1]
-    columns = [
-        np.log1p(n) / 8,
-        share((raw >= 65) & (raw <= 90)) * 4,
-        share(sign) * 4,
-        share((raw >= 48) & (raw <= 57)) * 4,
-        share(raw == 10) * 20,
-        share(raw >= 128) * 2,
-        share(np.isin(raw, (44, 46))) * 4,
-        share(np.isin(raw, (33, 36, 37, 38, 42, 35))) * 4,
-        share(raw == 124) * 4,
-        per_word(again) * 2,
-        per_word(size) / 10,
-        per_word((~((last >= 97) & (last <= 122)) & (last < 128)).astype(np.int64)),
-        per_word((size <= 2).astype(np.int64)),
-    ]
-    distinct, spread, top = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
-    for i in full:
-        _, c = np.unique(w.hashes[w.bounds[i] : w.bounds[i + 1]], return_counts=True)
-        distinct[i], top[i] = len(c) / n[i], c.max() / n[i]
-        spread[i] = np.log1p(len(c)) / 8
-    out[:, DIM:] = np.stack([*columns, distinct, spread, top], axis=1)
-    out[n == 0] = 0
-    return out
+                same = (of[d:] == of[:-d])[:, None]
+                sums[:-d] += near[d:] * same
+                sums[d:] += near[:-d] * same
+            own = bucket(w.hashes)
+            order = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.concatenate(([True], np.diff(own[order]) > 0)))
+            total[own[order][cuts]] += np.add.reduceat(sums[order], cuts, axis=0)
+    if total.any():
+        for i in range(0, BUCKETS, PIECE):
+            yield batch_of(_TABLE, ([i // PIECE], [zstandard.compress(total[i : i + PIECE].astype(np.float32).tobytes(), 1)]))
+
+
+@tidy
+def _add_pieces(batches):
+    now = total = None
+    done = lambda: batch_of(_TABLE, ([now], [total.astype(np.float32).tobytes()]))
+    for batch in batches:
+        for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if piece != now:
+                if now is not None:
+                    yield done()
+                now, total = piece, 0.0
+            total = total + np.frombuffer(zstandard.decompress(data), dtype=np.float32).astype(np.float64)
+    if now is not None:
+        yield done()
+
+
+def context_vectors(texts: DataFrame) -> np.ndarray:
+    """BUCKETS vectors of length one, from every text; the table's size does not grow with the input."""
+    schema = "piece int, data binary"
+    pieces = texts.select("text").mapInArrow(_contexts, schema).repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_pieces, schema)
+    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
+    for row in pieces.toLocalIterator():
+        out[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.data, dtype=np.float32).reshape(-1, DIM)
+    return unit(out).astype(np.float32)
+
+
+def features(texts: list[bytes], vectors: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """One row a text: the means of its words' trigram and context vectors and of the products of neighbours' trigram vectors. A text without words has zeros."""
+    out, n = np.zeros((len(texts), 3 * DIM)), np.zeros(len(texts))
+    for whose, parts in part_passes(texts):
+        x = lexicon(parts, where)
+        lengths = np.diff(x.bounds)
+        full = np.flatnonzero(lengths)
+        if not len(full):
+            continue
+        each = np.concatenate((x.trigrams, vectors[bucket(x.hashes)], x.trigrams), axis=1)[x.ids]
+        each[:-1, 2 * DIM :] *= each[1:, :DIM]
+        each[x.bounds[1:][full] - 1, 2 * DIM :] = 0  # a text's last word has no next one
+        np.add.at(out, whose[full], np.add.reduceat(each, x.bounds[:-1][full], axis=0))
+        np.add.at(n, whose[full], lengths[full])
+    out /= np.maximum(1, n)[:, None]
+    out[:, 2 * DIM :] *= DIM**0.5
+    return out.astype(np.float32)
 
 
 class Model(NamedTuple):
@@ -149,7 +191,7 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> Model:
             hidden = np.maximum(0, z[i] @ p[0] + p[1])
             d = (1 / (1 + np.exp(-np.clip(hidden @ p[2] + p[3], -60, 60))) - y[i]) / len(i)
             back = np.outer(d, p[2]) * (hidden > 0)
-            grads = [z[i].T @ back + 1e-4 * p[0], back.sum(axis=0), hidden.T @ d + 1e-4 * p[2], d.sum(keepdims=True)]
+            grads = [z[i].T @ back + 1e-3 * p[0], back.sum(axis=0), hidden.T @ d + 1e-3 * p[2], d.sum(keepdims=True)]
             t += 1
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -164,9 +206,9 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """The model from at most ``rows`` labelled texts outside the held-out fold, the first by a hash of doc_id; None without any.
+    """The model: context vectors from all texts outside the held-out fold, the network from at most ``rows`` labelled ones, the first by a hash of doc_id; None without any.
 
-    Rows with a null doc_id, quality or text teach nothing. Conflicting labels
+    Rows with a null doc_id, quality or text teach no label. Conflicting labels
     of a document count by their minimum.
     """
     spark = docs.sparkSession
@@ -174,43 +216,41 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     named = labels.where("doc_id is not null and quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # small enough to broadcast, whatever the tables' sizes
     sample = scratch.save("sample", docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").repartition(12))
-    vectors = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for row in sample.coalesce(6).select("text").mapInArrow(_contexts, "data binary").toLocalIterator():
-        vectors += np.frombuffer(row.data, dtype=np.float32).reshape(BUCKETS, DIM)
-    vectors /= np.maximum(1e-6, np.linalg.norm(vectors, axis=1, keepdims=True))
+    if sample.isEmpty():
+        return None
+    vectors = context_vectors(docs.where(F.coalesce(fold() != 0, F.lit(True)) & F.col("text").isNotNull()))
+    table = spark.sparkContext.broadcast(vectors)
 
+    @tidy
     def describe(batches):
+        where = places()
         for batch in batches:
-            ids, quality = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist()
-            for first, texts in passes(batch):
-                yield batch_of(_ROWS, (ids[first : first + len(texts)], quality[first : first + len(texts)], list(features(texts, vectors))))
+            yield batch_of(_ROWS, (batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist(), list(features(as_bytes(batch.column("text")), table.value, where))))
 
     got = sample.mapInArrow(describe, "doc_id bigint, quality int, features array<float>").orderBy("doc_id").toArrow()
     scratch.drop("sample")
-    if not got.num_rows:
-        return None
     x = got["features"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     return train(x, got["quality"].to_numpy() > 0, vectors)
 
 
-def scorer(model: Model | None):
-    def score(batches):
-        for batch in batches:
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for first, texts in passes(batch):
-                s = model.score(features(texts, model.vectors).astype(np.float64)) if model else np.full(len(texts), 0.5)
-                yield batch_of(_OUT, (ids[first : first + len(texts)], held[first : first + len(texts)], s, (s >= THRESHOLD).astype(np.int32)))
-
-    return score
-
-
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score and predicted for each row; only the text is an input.
 
     A null or empty text is scored as a text without words. Without a model
     every score is 0.5. Repeated and null doc_ids keep a row each; a null
-    doc_id is not held out.
+    doc_id is not held out. An empty table gives an empty one; a text longer
+    than a pass is read in parts, cut between words.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    own = spark.sparkContext.broadcast(model)
+
+    @tidy
+    def score(batches):
+        model, where = own.value, places()
+        for batch in batches:
+            texts = as_bytes(batch.column("text"))
+            s = model.score(features(texts, model.vectors, where).astype(np.float64)) if model else np.full(len(texts), 0.5)
+            yield batch_of(_OUT, (batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), s, (s >= THRESHOLD).astype(np.int32)))
+
     held = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held, "text").mapInArrow(scorer(model), OUT)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held, "text").mapInArrow(score, OUT)
