@@ -188,7 +188,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Filters:
         yield batch_of(_FILTER, ([zstandard.compress(masks.tobytes(), 1)],))
 
     masks = empty_masks(size, len(langs))
-    for row in held.coalesce(6).mapInArrow(fill, "part binary").toLocalIterator():  # six parts of the filters' size
+    for row in held.coalesce(6).mapInArrow(fill, "part binary").collect():  # six parts of the filters' size
         masks |= np.frombuffer(zstandard.decompress(row.part), dtype=np.uint8).reshape(masks.shape)
     scratch.drop("sample", "held")
     return finish(masks, langs)

@@ -134,7 +134,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     schema = "piece int, data binary"
     pieces = texts.select("text").mapInArrow(_contexts, schema).repartition("piece").sortWithinPartitions("piece").mapInArrow(_add_pieces, schema)
     out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for row in pieces.toLocalIterator():
+    for row in pieces.collect():  # the table's size in all
         out[row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.data, dtype=np.float32).reshape(-1, DIM)
     return unit(out).astype(np.float32)
 
