@@ -81,6 +81,8 @@ def validate(parsed: Catalog, manifest: dict | None = None) -> DataFrame:
 def quarantined(controls: DataFrame, issues: DataFrame, waivers: DataFrame | None = None) -> DataFrame:
     """catalog, control_id, codes: controls with errors that no waiver covers, and all enhancements below them.
 
+    An id that cannot be read names no control, and is held back under itself.
+
     waivers: (framework_version, control_id, code). A control held back for its
     parent has the code PARENT_QUARANTINED. Enhancements of enhancements are
     followed level by level until a level holds back none.
@@ -89,7 +91,7 @@ def quarantined(controls: DataFrame, issues: DataFrame, waivers: DataFrame | Non
     if waivers is not None:
         version = controls.select("catalog", "framework_version").distinct()
         errors = errors.join(version, "catalog", "left").join(waivers.select("framework_version", "control_id", "code").distinct(), ["framework_version", "control_id", "code"], "left_anti")
-    held = errors.join(controls.select("catalog", "control_id").distinct(), ["catalog", "control_id"], "left_semi").groupBy("catalog", "control_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    held = errors.groupBy("catalog", "control_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
     below = controls.where("parent_id is not null").select("catalog", "control_id", F.col("parent_id").alias("above")).distinct()
     fresh = held
     while True:
