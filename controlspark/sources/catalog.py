@@ -11,6 +11,7 @@ import hashlib
 import json
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 # The shapes of ids, labels, insertions and part names.
 INSERTION = re.compile(r"\{\{\s*insert:\s*param,\s*([^\s}]+)\s*\}\}")
 SOURCE_ID = re.compile(r"([a-z]{2})-([0-9]{1,3})(?:\.([0-9]{1,3}))?")
@@ -74,7 +77,7 @@ class _File:
     def __init__(self, raw: bytes, code: str):
         root = json.loads(raw.decode("utf-8"))
         if "catalog" not in root:
-            raise ValueError("not a control catalog: there is no top-level 'catalog'")
+            raise ValueError("not an OSCAL catalog: missing top-level 'catalog'")
         self.tree = root["catalog"]
         self.rows: list[tuple[str, dict]] = []
         self.said: set[tuple] = set()
@@ -124,7 +127,7 @@ class _File:
         for source, n in Counter(node["id"] for _, node, _ in self.nodes).items():
             if self.names[source] is None:
                 for _ in range(n):
-                    self.rows.append(("issue", {"severity": "error", "code": "BAD_ID", "control_id": source, "message": f"cannot canonicalise source id '{source}'"}))
+                    self.rows.append(("issue", {"severity": "error", "code": "BAD_ID", "control_id": source, "message": f"cannot canonicalise OSCAL id '{source}'"}))
             elif n > 1:
                 self.say("error", "DUPLICATE_ID", f"source id '{source}' appears {n} times", self.names[source])
 
@@ -219,15 +222,20 @@ def hashes(c: dict) -> tuple[str, str]:
 def read_catalog(spark: SparkSession, path: str, framework_code: str = "NIST-SP-800-53") -> Catalog:
     """The catalog files at path (a file, folder or pattern). A file that is no catalog fails the read."""
 
+    read = uuid.uuid4().hex  # makes this read's plan its own: rows kept by an earlier read of the path are not taken for it
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        assert read
         for batch in batches:
             for name, raw in zip(batch["path"], batch["content"], strict=True):
                 rows = _File(bytes(raw), framework_code).rows
                 yield pd.DataFrame({"catalog": name, "kind": [k for k, _ in rows], "record": [json.dumps(r) for _, r in rows]})
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "catalog string, kind string, record string")
+    files = ship(spark).read.format("binaryFile").load(path).select("path", "content")
+    # Kept, as several frames read it; what a lost executor held is parsed again.
+    rows = files.mapInPandas(parse, "catalog string, kind string, record string").persist()
 
     def of(kind: str, schema: str) -> DataFrame:
-        return rows.where(F.col("kind") == kind).select("catalog", F.from_json("record", schema).alias("r")).select("catalog", "r.*")
+        return rows.where(F.col("kind") == kind).select("catalog", F.from_json("record", schema).alias("r")).select("catalog", "r.*").persist()
 
     return Catalog(of("framework", FRAMEWORK), of("control", CONTROL), of("issue", ISSUE), of("reference", REFERENCE))

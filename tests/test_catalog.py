@@ -40,6 +40,10 @@ def renamed_parameter(c):
     c["groups"][0]["controls"][0]["params"][0]["id"] = "other"
 
 
+def bad_id(c):
+    c["groups"][0]["controls"][0]["id"] = "ac_1"
+
+
 def cycle(c):
     c["groups"][0]["controls"][0]["params"][0]["label"] = "{{ insert: param, ac-1_odp.01 }}"
 
@@ -61,6 +65,7 @@ def other_version(c):
     [
         (lost_statement, {"EMPTY_STATEMENT"}, {"AC-2", "AC-2(1)", "AC-2(10)"}),
         (renamed_parameter, {"UNRESOLVED_PARAM", "UNRENDERED_PLACEHOLDER"}, {"AC-1"}),
+        (bad_id, {"BAD_ID"}, {"ac_1"}),
         (cycle, {"PARAM_CYCLE"}, {"AC-1"}),
         (wrong_label, {"ID_LABEL_MISMATCH"}, {"SA-15"}),
         (lost_control, {"COUNT_MISMATCH"}, set()),
@@ -75,5 +80,5 @@ def test_faults(spark, tmp_path, change, codes, ids):
 
 def test_no_catalog(spark, tmp_path):
     (tmp_path / "x.json").write_text("{}")
-    with pytest.raises(Exception, match="not a control catalog"):
+    with pytest.raises(Exception, match="not an OSCAL catalog"):
         read_catalog(spark, str(tmp_path / "x.json")).controls.collect()

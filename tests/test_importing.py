@@ -1,8 +1,12 @@
+import threading
+
 import pytest
 from catalogs import MANIFEST, write
-from controlspark.plans.importing import PlanBlocked, apply_import, open_items, plan_import, verify
+from controlspark.functions.textnorm import field_hash
+from controlspark.operators.corrections import curation_of
+from controlspark.plans.importing import RECORDED, REQUIREMENT, PlanBlocked, apply_import, effective_requirements, open_items, plan_import, verify
 from controlspark.plans.store import Store
-from controlspark.sources.catalog import CONTROL, read_catalog
+from controlspark.sources.catalog import read_catalog
 from pyspark.sql import functions as F
 
 
@@ -10,22 +14,70 @@ def other_title(c):
     c["groups"][0]["controls"][0]["title"] = "Other"
 
 
+def bad_id(c):
+    c["groups"][1]["controls"][0]["controls"][0]["id"] = "sa_15.12"
+
+
+def sha(spark, text):
+    return spark.range(1).select(field_hash(F.lit(text))).first()[0]
+
+
+def entry(spark, control, field, value, published, **more):
+    return {"framework_version": "5.2.0", "control_id": control, "field": field, "value": value, "source_value_sha256": sha(spark, published), "problem": "wrong", "citation": "p. 1", "reviewer": "r", "reviewed_at": "2024-01-01"} | more
+
+
+TWIN = "Test the system with care."
+
+
 def test_import(spark, tmp_path):
     parsed, store = read_catalog(spark, write(tmp_path)), Store(spark, f"file://{tmp_path}/store")
-    assert plan_import(parsed, store, MANIFEST).summary() == {"new": 5, "unchanged": 0, "conflict": 0, "quarantined": 2, "blockers": 0}
-    assert store.head() == 0
-    apply_import(parsed, store, "me", MANIFEST)
-    assert (store.read("requirement", CONTROL).count(), open_items(store).count(), verify(parsed, store).count()) == (5, 2, 0)
-    assert apply_import(parsed, store, "me", MANIFEST) == {"new": 0, "unchanged": 5, "conflict": 0, "quarantined": 2, "blockers": 0}
-    assert (store.read("requirement", CONTROL).count(), open_items(store).count()) == (5, 2)
+    want = {"new": 5, "unchanged": 0, "conflict": 0, "quarantined": 2, "waived": 0, "warnings": 1, "blockers": 0}
+    assert plan_import(parsed, store, MANIFEST).summary() == want and store.head() == 0
+    assert apply_import(parsed, store, "me", MANIFEST) == want | {"added": 5}
+    assert (store.read("requirement", REQUIREMENT).count(), open_items(store).count(), verify(parsed, store).count()) == (5, 2, 0)
+    assert apply_import(parsed, store, "me", MANIFEST)["unchanged"] == 5
+    assert (store.read("requirement", REQUIREMENT).count(), open_items(store).count()) == (5, 2)
     with pytest.raises(PlanBlocked, match="active: catalog has 6"):
         apply_import(parsed, store, "me", {"expected": {"active": 9}})
     changed = read_catalog(spark, write(tmp_path, other_title))
     with pytest.raises(PlanBlocked, match="SOURCE_CHANGED"):
         apply_import(changed, store, "me", MANIFEST)
-    assert [tuple(r) for r in verify(changed, store).collect()] == [("AC-1", "stored content differs from the source file")]
-    waivers = spark.createDataFrame([("5.2.0", f"SA-15({n})", "DUPLICATE_STATEMENT") for n in (12, 13)], "framework_version string, control_id string, code string")
-    assert plan_import(read_catalog(spark, write(tmp_path)), store, MANIFEST, waivers).summary() == {"new": 2, "unchanged": 5, "conflict": 0, "quarantined": 0, "blockers": 0}
+    assert ("AC-1", "stored content differs from the source file") in [tuple(r) for r in verify(changed, store).collect()]
+
+
+def test_corrections_and_waivers(spark, tmp_path):
+    parsed, store = read_catalog(spark, write(tmp_path)), Store(spark, f"file://{tmp_path}/store")
+    first = curation_of(spark, {"corrections": [entry(spark, "SA-15(13)", "statement", " Test the parts. ", TWIN), entry(spark, "AC-2", "title", "Accounts", "Accounts"), entry(spark, "AC-1", "statement", "x", "a. Write [named people] rules; and 1. Choose [team [named people] | office | site]."), entry(spark, "SA-15", "title", "x", "nothing of that kind")]})
+    plan = plan_import(parsed, store, MANIFEST, first)
+    states = {(r.control_id, r.state) for r in plan.corrections.notes.collect()}
+    assert states == {("SA-15(13)", "new"), ("AC-2", "no_change"), ("AC-1", "clauses"), ("SA-15", "stale")}
+    assert {r.control_id for r in plan.held.collect()} >= {"AC-1", "AC-2", "SA-15"}
+    good = {"corrections": [entry(spark, "SA-15(13)", "statement", " Test the parts. ", TWIN)]}
+    assert apply_import(parsed, store, "me", MANIFEST, curation_of(spark, good))["corrections_to_record"] == 1
+    rows = {r.control_id: r for r in effective_requirements(store).collect()}
+    assert len(rows) == 7 and (rows["SA-15(13)"].statement, rows["SA-15(13)"].corrected) == ("Test the parts.", 1)
+    assert open_items(store).count() == 0 and verify(parsed, store, curation_of(spark, good)).count() == 0
+    again = plan_import(parsed, store, MANIFEST, curation_of(spark, good))
+    assert [r.state for r in again.corrections.notes.collect()] == ["unchanged"] and again.record.count() == 0
+    other = {"corrections": [entry(spark, "SA-15(13)", "statement", "Test all parts.", TWIN), entry(spark, "ZZ-1", "title", "x", "y")]}
+    plan = plan_import(parsed, store, MANIFEST, curation_of(spark, other))
+    assert {r.state for r in plan.corrections.notes.collect()} == {"new_revision", "target_missing"} and "CORRECTION_TARGET_MISSING" in {r.code for r in plan.blockers().collect()}
+    retired = {"reviewer": "r", "reviewed_at": "2024-02-02", "reason": "was right"}
+    out = {"corrections": [entry(spark, "SA-15(13)", "statement", "Test the parts.", TWIN, retired=retired)]}
+    waivers = [{"framework_version": "5.2.0", "control_id": f"SA-15({n})", "code": "DUPLICATE_STATEMENT", "reason": "known", "reviewer": "r", "reviewed_at": "now"} for n in (12, 13)]
+    assert apply_import(parsed, store, "me", MANIFEST, curation_of(spark, out | {"waivers": waivers}))["waived"] == 2
+    assert [(r.revision, r.action) for r in store.read("source_correction", RECORDED).orderBy("revision").collect()] == [(1, "set"), (2, "retire")]
+    assert [r.state for r in plan_import(parsed, store, MANIFEST, curation_of(spark, out)).corrections.notes.collect()] == ["retired_already"]
+    assert {r.problem for r in verify(parsed, store).collect()} == {"stored, but with its corrections its text is now held back: DUPLICATE_STATEMENT"}
+    for wrong in ({"corrections": [entry(spark, "AC-1", "kind", "x", "y")]}, {"corrections": [entry(spark, "AC-1", "title", "", "y")]}, {"waivers": [{}]}, {"corrections": [], "overrides": [1]}):
+        with pytest.raises(ValueError):
+            curation_of(spark, wrong)
+
+
+def test_bad_ids_are_held_back(spark, tmp_path):
+    parsed, store = read_catalog(spark, write(tmp_path, bad_id)), Store(spark, f"file://{tmp_path}/store")
+    apply_import(parsed, store, "me")
+    assert [(r.control_id, r.code, r.message) for r in open_items(store).collect()] == [("sa_15.12", "BAD_ID", "cannot canonicalise OSCAL id 'sa_15.12'")]
 
 
 def test_a_late_writer_adds_nothing(spark, tmp_path):
@@ -33,10 +85,23 @@ def test_a_late_writer_adds_nothing(spark, tmp_path):
     rows = spark.range(3)
     assert store.commit(0, {"t": rows}) and not store.commit(0, {"t": rows})
     assert (store.head(), store.read("t", "id bigint").count()) == (1, 3)
+    (tmp_path / "store/commits/.left-by-a-crash").write_text("")
+    assert store.read("t", "id bigint").count() == 3
+
+
+def test_four_writers(spark, tmp_path):
+    store, done = Store(spark, f"file://{tmp_path}/store"), []
+    write_one = lambda i: done.append(store.change(lambda head: {"t": spark.createDataFrame([(i, head)], "id bigint, head bigint")}))
+    threads = [threading.Thread(target=write_one, args=(i,)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(done) == [1, 2, 3, 4] and sorted(tuple(r)[0] for r in store.read("t", "id bigint, head bigint").collect()) == [0, 1, 2, 3]
 
 
 def test_changed_fields_are_found(spark, tmp_path):
     parsed, store = read_catalog(spark, write(tmp_path)), Store(spark, f"file://{tmp_path}/store")
-    rows = parsed.controls.drop("catalog").withColumn("statement", F.when(F.col("control_id") == "AC-2", "forged").otherwise(F.col("statement")))
-    store.commit(0, {"requirement": rows})
+    rows = parsed.controls.drop("catalog").withColumn("statement", F.when(F.col("control_id") == "AC-2", "forged").otherwise(F.col("statement"))).withColumns({"id": F.col("ordinal"), "run": F.lit(1).cast("bigint")})
+    store.commit(0, {"requirement": rows.where("control_id not like 'SA-15(%'")})
     assert [tuple(r) for r in verify(parsed, store).collect()] == [("AC-2", "stored fields no longer match the content hash")]
