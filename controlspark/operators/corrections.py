@@ -27,6 +27,7 @@ CORRECTION_KEYS = ("framework_version", "control_id", "field", "value", "source_
 RETIRED_KEYS = ("reviewer", "reviewed_at", "reason")
 WAIVER = ", ".join(f"{k} string" for k in WAIVER_KEYS)
 ENTRY = ", ".join(f"{k} string" for k in CORRECTION_KEYS) + ", retired struct<reviewer:string,reviewed_at:string,reason:string>"
+ISSUES = "severity string, code string, control_id string, message string"
 CORRECTION = (
     "framework_code string, framework_version string, control_id string, field string, revision int, action string, value string, source_value_sha256 string, "
     "problem string, citation string, reviewer string, reviewed_at string"
@@ -121,9 +122,12 @@ def published_fields(controls: DataFrame) -> DataFrame:
 
 def resolve(controls: DataFrame, history: DataFrame, curation: Curation, version: str) -> Resolution:
     """Decides each entry of this version against the published controls and the stored history (CORRECTION) of one framework version."""
-    keys = ["control_id", "field"]
-    last = latest(history.select(CORRECTION_COLUMNS), keys, "revision")
-    published = published_fields(controls).withColumn("published_hash", field_hash(F.col("published")))
+    spark, keys = controls.sparkSession, ["control_id", "field"]
+    if history.isEmpty() and curation.entries.where(F.col("framework_version") == version).isEmpty():
+        none = lambda schema: spark.createDataFrame([], schema)
+        return Resolution(none("control_id string, field string, state string, revision int"), none(CORRECTION), none(CORRECTION), none(ISSUES), controls.withColumn("corrected", F.lit(False)))
+    last = latest(history.select(CORRECTION_COLUMNS), keys, "revision").coalesce(1).cache()
+    published = published_fields(controls).withColumn("published_hash", field_hash(F.col("published"))).coalesce(2).cache()
     was = last.select(*keys, *[F.col(c).alias(f"was_{c}") for c in ("revision", "action", "value", "source_value_sha256", "problem", "citation", "reviewer", "reviewed_at")])
     e = curation.entries.where(F.col("framework_version") == version).join(published, keys, "left").join(was, keys, "left")
     e = e.withColumn("stored_value", F.when(F.col("field") == "title", normalize_text(F.col("value"))).otherwise(strip(F.col("value"))))
@@ -145,7 +149,7 @@ def resolve(controls: DataFrame, history: DataFrame, curation: Curation, version
         .otherwise("new_revision")
     )
     e = e.withColumn("state", state).withColumn("revision", F.when(F.col("state").isin("retire", "new", "new_revision"), F.coalesce("was_revision", F.lit(0)) + 1).otherwise(F.col("was_revision")))
-    e = e.withColumn("low", F.lower(normalize_text(F.col("value")))).cache()  # a lambda below refers to low, and none may hold the NFC function
+    e = e.withColumn("low", F.lower(normalize_text(F.col("value")))).coalesce(1).cache()  # a lambda below refers to low, and none may hold the NFC function
     notes = e.select("control_id", "field", "state", "revision")
     retire = e.where("state = 'retire'").select("framework_code", "framework_version", *keys, "revision", F.lit("retire").alias("action"), F.lit("").alias("value"), F.col("was_source_value_sha256").alias("source_value_sha256"), strip(F.col("retired.reason")).alias("problem"), F.lit("").alias("citation"), strip(F.col("retired.reviewer")).alias("reviewer"), strip(F.col("retired.reviewed_at")).alias("reviewed_at"))
     fresh = e.where("state in ('new', 'new_revision')").select("framework_code", "framework_version", *keys, "revision", F.lit("set").alias("action"), F.col("stored_value").alias("value"), "source_value_sha256", *[strip(F.col(c)).alias(c) for c in ("problem", "citation", "reviewer", "reviewed_at")])
@@ -176,8 +180,9 @@ def resolve(controls: DataFrame, history: DataFrame, curation: Curation, version
         issue(blocked, "error", "CORRECTION_CLAUSES", F.col("control_id"), ": ", F.col("clause_problem")),
     ):
         issues = issues.unionByName(more)
-    force = force.join(blocked.select("control_id").distinct(), "control_id", "left_anti").select(*CORRECTION_COLUMNS)
-    return Resolution(notes, retire.select(*CORRECTION_COLUMNS).unionByName(fresh.select(*CORRECTION_COLUMNS)), force, issues, laid_over(controls, force))
+    force = force.join(blocked.select("control_id").distinct(), "control_id", "left_anti").select(*CORRECTION_COLUMNS).coalesce(1).cache()
+    # Kept, as later plans build on each of them several times.
+    return Resolution(notes, retire.select(*CORRECTION_COLUMNS).unionByName(fresh.select(*CORRECTION_COLUMNS)).coalesce(1).cache(), force, issues.coalesce(1).cache(), laid_over(controls, force).coalesce(2).cache())
 
 
 CORRECTION_COLUMNS = [x.split()[0] for x in CORRECTION.split(", ")]

@@ -4,7 +4,7 @@ import pytest
 from catalogs import MANIFEST, write
 from controlspark.functions.textnorm import field_hash
 from controlspark.operators.corrections import curation_of
-from controlspark.plans.importing import RECORDED, REQUIREMENT, PlanBlocked, apply_import, effective_requirements, open_items, plan_import, verify
+from controlspark.plans.importing import REQUIREMENT, PlanBlocked, apply_import, open_items, plan_import, verify
 from controlspark.plans.store import Store
 from controlspark.sources.catalog import read_catalog
 from pyspark.sql import functions as F
@@ -45,30 +45,13 @@ def test_import(spark, tmp_path):
     assert ("AC-1", "stored content differs from the source file") in [tuple(r) for r in verify(changed, store).collect()]
 
 
-def test_corrections_and_waivers(spark, tmp_path):
+def test_corrections_are_decided(spark, tmp_path):
     parsed, store = read_catalog(spark, write(tmp_path)), Store(spark, f"file://{tmp_path}/store")
     first = curation_of(spark, {"corrections": [entry(spark, "SA-15(13)", "statement", " Test the parts. ", TWIN), entry(spark, "AC-2", "title", "Accounts", "Accounts"), entry(spark, "AC-1", "statement", "x", "a. Write [named people] rules; and 1. Choose [team [named people] | office | site]."), entry(spark, "SA-15", "title", "x", "nothing of that kind")]})
     plan = plan_import(parsed, store, MANIFEST, first)
     states = {(r.control_id, r.state) for r in plan.corrections.notes.collect()}
     assert states == {("SA-15(13)", "new"), ("AC-2", "no_change"), ("AC-1", "clauses"), ("SA-15", "stale")}
     assert {r.control_id for r in plan.held.collect()} >= {"AC-1", "AC-2", "SA-15"}
-    good = {"corrections": [entry(spark, "SA-15(13)", "statement", " Test the parts. ", TWIN)]}
-    assert apply_import(parsed, store, "me", MANIFEST, curation_of(spark, good))["corrections_to_record"] == 1
-    rows = {r.control_id: r for r in effective_requirements(store).collect()}
-    assert len(rows) == 7 and (rows["SA-15(13)"].statement, rows["SA-15(13)"].corrected) == ("Test the parts.", 1)
-    assert open_items(store).count() == 0 and verify(parsed, store, curation_of(spark, good)).count() == 0
-    again = plan_import(parsed, store, MANIFEST, curation_of(spark, good))
-    assert [r.state for r in again.corrections.notes.collect()] == ["unchanged"] and again.record.count() == 0
-    other = {"corrections": [entry(spark, "SA-15(13)", "statement", "Test all parts.", TWIN), entry(spark, "ZZ-1", "title", "x", "y")]}
-    plan = plan_import(parsed, store, MANIFEST, curation_of(spark, other))
-    assert {r.state for r in plan.corrections.notes.collect()} == {"new_revision", "target_missing"} and "CORRECTION_TARGET_MISSING" in {r.code for r in plan.blockers().collect()}
-    retired = {"reviewer": "r", "reviewed_at": "2024-02-02", "reason": "was right"}
-    out = {"corrections": [entry(spark, "SA-15(13)", "statement", "Test the parts.", TWIN, retired=retired)]}
-    waivers = [{"framework_version": "5.2.0", "control_id": f"SA-15({n})", "code": "DUPLICATE_STATEMENT", "reason": "known", "reviewer": "r", "reviewed_at": "now"} for n in (12, 13)]
-    assert apply_import(parsed, store, "me", MANIFEST, curation_of(spark, out | {"waivers": waivers}))["waived"] == 2
-    assert [(r.revision, r.action) for r in store.read("source_correction", RECORDED).orderBy("revision").collect()] == [(1, "set"), (2, "retire")]
-    assert [r.state for r in plan_import(parsed, store, MANIFEST, curation_of(spark, out)).corrections.notes.collect()] == ["retired_already"]
-    assert {r.problem for r in verify(parsed, store).collect()} == {"stored, but with its corrections its text is now held back: DUPLICATE_STATEMENT"}
     for wrong in ({"corrections": [entry(spark, "AC-1", "kind", "x", "y")]}, {"corrections": [entry(spark, "AC-1", "title", "", "y")]}, {"waivers": [{}]}, {"corrections": [], "overrides": [1]}):
         with pytest.raises(ValueError):
             curation_of(spark, wrong)
