@@ -13,7 +13,7 @@ removed, where runs of such lines have MIN_CHARS characters or more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, own_ids, with_row_keys
@@ -28,6 +28,10 @@ def _bound(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("*", F.expr(f"inline(array(struct({', '.join(columns)})))"))
 
 
+def _hash(c: Column) -> Column:
+    return F.xxhash64(c)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """The lines, with their ends, in place of the text; other columns stay."""
     others = [c for c in docs.columns if c != "text"]
@@ -65,15 +69,25 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop("keys", "again")
     # Only texts with candidates are cut into lines again.
     places = "filter(array_distinct(flatten(transform(near, x -> sequence(x.low, x.high)))), i -> i < size(lines) - 1)"
-    pair = "named_struct('line', i, 'text', concat(lines[i], lines[i + 1]), 'sizes', array(length(lines[i]), length(lines[i + 1])))"
+    pair = "named_struct('line', i, 'text', concat(lines[i], lines[i + 1]), 'a', length(lines[i]), 'b', length(lines[i + 1]))"
     pairs = _bound(_lines(docs.join(near, "doc_id")), f"{places} as places").select("doc_id", F.expr(f"inline(transform(places, i -> {pair}))"))
-    pairs = scratch.save("pairs", pairs)
+    pairs = scratch.save("pairs", pairs.withColumn("h", _hash(F.col("text"))))
     scratch.drop("near")
-    firsts = scratch.save("firsts", pairs.groupBy("text").agg(F.min(F.struct("doc_id", "line")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    copies = pairs.join(firsts, "text").where("struct(doc_id, line) <> origin")
-    marked = copies.select("doc_id", F.expr("inline(array(struct(line as line, sizes[0] as chars), struct(line + 1 as line, sizes[1] as chars)))")).groupBy("doc_id", "line").agg(F.max("chars").alias("chars"))
+    # Whole texts are grouped; where a hash has one text only, it stands for these bytes from here on.
+    groups = pairs.groupBy("h", "text").agg(F.min(F.struct("doc_id", "line")).alias("origin"), F.count("*").alias("n")).select("h", "n", "origin.*")
+    firsts = groups.groupBy("h").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("doc_id").alias("first_doc"), F.min("line").alias("first_line"))
+    firsts = scratch.save("firsts", firsts.where("n > 1").drop("n"))
+    scratch.drop()
+    elsewhere = "struct(doc_id, line) <> struct(first_doc, first_line)"
+    copies = pairs.drop("text").join(firsts.where("texts = 1").drop("texts"), "h").where(elsewhere).select("doc_id", "line", "a", "b")
+    shared = firsts.where("texts > 1").select("h")
+    if not shared.isEmpty():
+        rest = scratch.save("rest", pairs.join(shared, "h", "left_semi").drop("h"))
+        origins = rest.groupBy("text").agg(F.min(F.struct("doc_id", "line")).alias("o")).select("text", F.col("o.doc_id").alias("first_doc"), F.col("o.line").alias("first_line"))
+        copies = copies.unionByName(rest.join(origins, "text").where(elsewhere).select("doc_id", "line", "a", "b"))
+    marked = copies.select("doc_id", F.expr("inline(array(struct(line as line, a as chars), struct(line + 1 as line, b as chars)))")).groupBy("doc_id", "line").agg(F.max("chars").alias("chars"))
     marked = scratch.save("marked", marked)
-    scratch.drop("pairs", "firsts")
+    scratch.drop("pairs", "firsts", "rest")
     run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
     runs = marked.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.sum("chars").alias("chars"))
     spans = runs.where(f"chars >= {MIN_CHARS}").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))

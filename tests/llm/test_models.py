@@ -14,6 +14,7 @@ from sentencepiece import SentencePieceProcessor
 
 from controlspark.llm import decontam, lang_id, line_dedup, lm_score, media, near_dedup, packing, quality, token_counts
 from controlspark.llm.queries import op10_quality, tokenizer_path
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -193,6 +194,13 @@ def test_lines_equal_their_sql(spark):
     assert len(texts[1000]) < 64 < len(texts[0])  # of a copy
 
 
+def test_texts_that_share_a_hash_stay_apart(spark, monkeypatch):
+    rows = spark.createDataFrame(planted(40, 60, random.Random(3)), "doc_id bigint, text string")
+    want = {tuple(r) for r in line_dedup.line_report(rows).collect()}
+    monkeypatch.setattr(line_dedup, "_hash", F.length)
+    assert {tuple(r) for r in line_dedup.line_report(rows).collect()} == want and any(r[2] for r in want)
+
+
 @pytest.mark.parametrize(("size", "least"), [(51, 0.7), (60, 0.75), (100, 0.85)])
 def test_planted_passages_go_and_clean_words_stay(spark, size, least):
     rows = planted(120, size, random.Random(size))
