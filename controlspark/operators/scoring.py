@@ -34,3 +34,13 @@ def top_k(masters: DataFrame, requirements: DataFrame, k: int = 3, least: float
     found = scores(masters, requirements).where(F.col("raw") >= least).withColumn("score", F.round("raw", 4))
     order = Window.partitionBy("requirement").orderBy(F.desc("score"), "master")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("requirement", F.col("rank").cast("bigint").alias("rank"), "master", "score")
+
+
+def evidence_terms(masters: DataFrame, requirements: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
+    """requirement, master, evidence of each pair: the shared tokens that add most to its score, the heaviest first, ties by name."""
+    m, r = weights(masters, requirements)
+    r = r.select(F.col("id").alias("requirement"), "token", F.col("w").alias("a"))
+    m = m.select(F.col("id").alias("master"), "token", F.col("w").alias("b"))
+    both = pairs.select("requirement", "master").join(r, "requirement").join(m, ["master", "token"])
+    heavy = F.array_sort(F.collect_list(F.struct((-F.col("a") * F.col("b")).alias("w"), "token")))
+    return both.groupBy("requirement", "master").agg(F.array_join(F.slice(heavy, 1, most)["token"], ", ").alias("evidence"))
