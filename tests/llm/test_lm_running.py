@@ -101,3 +101,10 @@ def test_the_order_of_words_counts(spark):
     got = {r.doc_id: r for r in lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[held[0]].base_score == pytest.approx(got[held[1]].base_score)
     assert got[held[0]].score > got[held[1]].score + 5
+
+
+@pytest.mark.parametrize("rows", [[], [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1), "no training rows")]])
+def test_without_training_rows(spark, rows):
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    assert all(r.train_tokens == 0 and r.n_known == 0 and np.isfinite(r.score) and r.score < 0 for r in got)
