@@ -1,5 +1,7 @@
 """The language model: exact contexts, normalisation, chunks and the chance of copies against brute force."""
 
+import cProfile
+import pstats
 import random
 import zlib
 
@@ -153,3 +155,24 @@ def test_texts_that_occur_twice_stand_out(spark):
     once = [r.bits_per_byte for r in got if r.doc_id in train[1:30]]
     assert len(twice) == 2 and max(twice) < 0.5 * min(once)
     assert next(r for r in got if r.doc_id == held).score < -10_000  # no floor below a long word
+
+
+def test_a_block_is_built_without_a_call_for_each_word():
+    """Odd words and many: what the block asks for equals a plain count, and Python calls do not grow with the words."""
+    rng = random.Random(8)
+    odd = ["", "Ab  aB\tx", "é 你好 \x01 \x00", "a" * 3000, "y", "ab"]
+    texts = [x.encode() for x in odd] + [" ".join(f"W{rng.randint(0, 10**6)}" for _ in range(500)).encode() for _ in range(20)]
+    docs = [(i, i % 3 == 1, len(x), i % 2) for i, x in enumerate(texts)]
+    runs = [(np.arange(i, min(i + 7, len(texts))), words(texts[i : i + 7])) for i in range(0, len(texts), 7)]
+    profile = cProfile.Profile()
+    rows = profile.runcall(lm_score._block, 5, docs, runs, 1).to_pylist()
+    want = {}
+    for (_, held, _, own), text in zip(docs, texts, strict=True):
+        for x in text.lower().split():
+            n = want.setdefault(x, [0, 0])
+            n[own] += not held
+    asked = [r for r in rows if r["word"] is not None]
+    assert {r["word"]: [r["n0"], r["n1"]] for r in asked} == want and len(want) > 9000
+    assert pstats.Stats(profile).total_calls < len(want)
+    assert sorted(r["idx"] for r in asked) == list(range(len(want)))
+    assert all(r["block"] == 5 for r in rows) and all(r["key"] is None and r["part"] is None and r["payload"] is None for r in asked)
