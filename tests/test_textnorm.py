@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from controlspark import relational
 from controlspark.functions import textnorm
-from controlspark.operators import scoring
+from controlspark.operators import rules, scoring
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["tfidf_topk"])
+@pytest.mark.parametrize("name", ["tfidf_topk", "duplicate_statement", "normalize_text", "plan_diff", "tokens_df", "canonical_key"])
 def test_no_python_on_the_executors(spark, name):
     plan = relational.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.findall(r"\w*(?:Python|Pandas|Arrow)\w*", plan)
@@ -39,3 +39,9 @@ def test_candidates_of_decomposed_texts(spark):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     got = rows(scoring.top_k(masters, composed))
     assert {x[0] for x in got} == {7, 8} and got == rows(scoring.top_k(plain(masters), plain(composed)))
+
+
+def test_twins_of_decomposed_texts(spark):
+    texts = ["re\u0301sume\u0301", " r\u00e9sum\u00e9\u00a0", "\u212bngstrom", "A\u030angstrom", "resume", None, "\u200b", ""]
+    got = rules.duplicate_statements(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, 1), (1, 0, 1), (2, 2, 1), (3, 2, 1)]
