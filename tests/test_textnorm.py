@@ -20,6 +20,12 @@ def test_no_python_on_the_executors(spark, name):
     assert not re.findall(r"\w*(?:Python|Pandas|Arrow)\w*", plan)
 
 
+def test_no_catalog_query_needs_python_workers(spark):
+    """No query of the catalog, so none that comes to share the normal form either."""
+    plans = {name: query(spark, SF)._jdf.queryExecution().executedPlan().toString() for name, query in relational.queries().items()}
+    assert [name for name, plan in plans.items() if re.search("Python|Pandas|Arrow", plan)] == []
+
+
 def test_nfc_equals_pythons(spark):
     known = [c for i in range(0xA0, 0x30000) if unicodedata.category(c := chr(i)) not in ("Cn", "Cs")]
     marks = [c for c in known if unicodedata.combining(c)]
